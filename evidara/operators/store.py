@@ -117,12 +117,13 @@ def latest_status(runs: DataFrame, documents: DataFrame) -> DataFrame:
     counts = documents.groupBy("workspace_id").agg(F.count("*").alias("_now"))
     joined = newest.join(counts, "workspace_id", "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
     stale = (F.col("status") == "complete") & (F.col("_now") != F.col("documents_ingested"))
-    return (
-        joined.withColumn("message", F.when(stale, V.STALE_MESSAGE).otherwise(F.col("message")))
-        .withColumn("documents_ingested", F.when(stale, F.col("_now")).otherwise(F.col("documents_ingested")))
-        .withColumn("status", F.when(stale, "stale").otherwise(F.col("status")))
-        .drop("_now")
-    )
+    return joined.withColumns(
+        {
+            "message": F.when(stale, V.STALE_MESSAGE).otherwise(F.col("message")),
+            "documents_ingested": F.when(stale, F.col("_now")).otherwise(F.col("documents_ingested")),
+            "status": F.when(stale, "stale").otherwise(F.col("status")),
+        }
+    ).drop("_now")
 
 
 def stage_table(status: DataFrame) -> DataFrame:
