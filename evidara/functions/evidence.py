@@ -44,12 +44,17 @@ def overlap(value: Column | str, prefix: str = "page_") -> Column:
 
 
 def _by_tokens(value: Column, ids: Column, tokens: Column) -> Column:
-    wanted = identifier_keys(value)
-    words = evidence_tokens(value)
-    held = F.filter(words, lambda t: F.array_contains(tokens, t))
-    return (
-        (F.size(words) > 0)
-        & (F.size(F.array_except(wanted, ids)) == 0)
-        & ((F.size(wanted) > 0) | (F.size(words) >= V.MIN_TOKENS_WITHOUT_IDENTIFIER))
-        & (F.size(held) / F.size(words) >= V.MIN_TOKEN_OVERLAP)
-    )
+    """Binding identifiers and tokens to one lambda variable computes them once per value."""
+
+    def judge(v: Column) -> Column:
+        wanted, words = v["ids"], v["words"]
+        held = F.filter(words, lambda t: F.array_contains(tokens, t))
+        return (
+            (F.size(words) > 0)
+            & (F.size(F.array_except(wanted, ids)) == 0)
+            & ((F.size(wanted) > 0) | (F.size(words) >= V.MIN_TOKENS_WITHOUT_IDENTIFIER))
+            & (F.size(held) / F.size(words) >= V.MIN_TOKEN_OVERLAP)
+        )
+
+    features = F.struct(identifier_keys(value).alias("ids"), evidence_tokens(value).alias("words"))
+    return F.element_at(F.transform(F.array(features), judge), 1)

@@ -154,15 +154,12 @@ def base_name(c: Column | str) -> Column:
 
 def file_stem(name: Column | str) -> Column:
     """File name without its last extension; a leading dot or a final dot is no extension."""
-    name = col(name)
-    has_suffix = name.rlike(r"\A.+\.[^.]+\z") & ~name.rlike(r"\A\.+[^.]*\z")
-    return F.when(has_suffix, F.regexp_replace(name, r"\.[^.]+\z", "")).otherwise(name)
+    return F.regexp_replace(col(name), r"(?s)\A(.+)\.[^.]+\z", "$1")
 
 
 def file_suffix(name: Column | str) -> Column:
     """Lower-cased extension with its dot, '' when there is none."""
-    name = col(name)
-    return F.lower(F.substring(name, F.length(file_stem(name)) + 1, F.length(name)))
+    return F.lower(F.regexp_extract(col(name), r"(?s)\A.+(\.[^.]+)\z", 1))
 
 
 def document_type(name: Column | str) -> Column:

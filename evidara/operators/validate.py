@@ -71,8 +71,8 @@ def attach_pages(
     )
 
 
-def reference_filename(item: Column | str = "item") -> Column:
-    return P.clean_field("source_document", "source", "source_filename", "filename", "document", item=item)
+def reference_filename() -> Column:
+    return P.clean_field("source_document", "source", "source_filename", "filename", "document")
 
 
 def feature_table(pages: DataFrame) -> DataFrame:
@@ -134,23 +134,20 @@ def gap_candidates(items: DataFrame) -> DataFrame:
 
 
 def contradiction_candidates(items: DataFrame) -> DataFrame:
-    first, second = P.evidence_pair("item")
     return (
-        items.where(P.is_object("item"))
-        .withColumn("_a", first)
-        .withColumn("_b", second)
+        P.evidence_pairs(items.where(F.col("fields").isNotNull()))
         .select(
             *KEYS,
             W.asset_id(P.field("asset_id")).alias("asset_id"),
             P.field("severity").alias("severity"),
             P.first_field("contradiction_type", "type").alias("contradiction_type"),
             P.clean_field("description").alias("description"),
-            X.clean_text("_a.evidence").alias("evidence_a"),
-            X.clean_text("_a.source_document").alias("ref_filename_a"),
-            F.col("_a.source_page").alias("ref_page_a"),
-            X.clean_text("_b.evidence").alias("evidence_b"),
-            X.clean_text("_b.source_document").alias("ref_filename_b"),
-            F.col("_b.source_page").alias("ref_page_b"),
+            X.clean_text("first.evidence").alias("evidence_a"),
+            X.clean_text("first.source_document").alias("ref_filename_a"),
+            F.col("first.source_page").alias("ref_page_a"),
+            X.clean_text("second.evidence").alias("evidence_b"),
+            X.clean_text("second.source_document").alias("ref_filename_b"),
+            F.col("second.source_page").alias("ref_page_b"),
             P.field("status").alias("status"),
         )
     )
@@ -162,7 +159,7 @@ REFERENCE = ("ref_filename", "ref_page")
 
 def _with_reference(items: DataFrame) -> DataFrame:
     return (
-        items.where(P.is_object("item"))
+        items.where(F.col("fields").isNotNull())
         .withColumn("ref_filename", reference_filename())
         .withColumn("ref_page", P.page_number("source_page", "page"))
     )
@@ -339,9 +336,10 @@ def accepted(checked: DataFrame) -> DataFrame:
 def rejects(checked: dict[str, DataFrame]) -> DataFrame:
     """Reject counts by record kind and reason."""
     parts = [
-        df.where(F.col("reject_reason").isNotNull())
-        .groupBy("workspace_id", "reject_reason")
-        .agg(F.count("*").alias("records"))
+        # Counting non-null reasons instead of filtering first evaluates the reasons once.
+        df.groupBy("workspace_id", "reject_reason")
+        .agg(F.count("reject_reason").alias("records"))
+        .where(F.col("records") > 0)
         .withColumn("kind", F.lit(kind))
         for kind, df in checked.items()
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "lookup_queries", "ingest_queries")
+MODULES = ("text_queries", "lookup_queries", "ingest_queries", "evidence_queries", "graph_queries")
 
 
 def load():

@@ -33,7 +33,7 @@ def as_files(df: DataFrame, path, content) -> DataFrame:
 def document_files(t) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 6 + 1).cast("int"))
     path = F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ext)
-    return as_files(t.documents.select("doc_id", "lang", "text"), path, F.encode("text", "UTF-8"))
+    return as_files(t.documents.select("doc_id", "lang", "source", "text"), path, F.encode("text", "UTF-8"))
 
 
 REASONS_SQL = """CASE doc_id % 6 WHEN 2 THEN 'PDF signature validation failed.' WHEN 3 THEN '.docx file is not a valid ZIP container.'

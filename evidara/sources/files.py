@@ -68,9 +68,8 @@ def reject_reason(
     kind = F.lit("") if content_type is None else F.lower(F.trim(F.substring_index(col(content_type), ";", 1)))
     shown = F.when(ext == "", "none").otherwise(ext)
     sample = F.substring(data, 1, V.BINARY_SAMPLE)
-    mime_ok = F.lit(False)
-    for known, allowed in V.MIME_BY_EXTENSION.items():
-        mime_ok = mime_ok | ((ext == known) & kind.isin(allowed))
+    pairs = F.array(*[F.lit(f"{known} {mime}") for known, allowed in V.MIME_BY_EXTENSION.items() for mime in allowed])
+    mime_ok = F.array_contains(pairs, F.concat(ext, F.lit(" "), kind))
     zip_prefix = F.when(ext == ".docx", V.ZIP_PREFIX[".docx"]).when(ext == ".xlsx", V.ZIP_PREFIX[".xlsx"])
     # Only container formats travel to the Python worker; other rows pass a null.
     fault = _zip_fault(F.when(zip_prefix.isNotNull(), data), zip_prefix)
