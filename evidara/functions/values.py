@@ -87,18 +87,24 @@ def half_even(c: Column | str, digits: int) -> Column:
     decimal(38,0) arithmetic on the scaled integer is exact too, so the decision is
     made on the true value and stays inside the JVM.
     """
-    x = col(c).cast("double")
-    return F.when(x < 1, _half_even_scaled(x, digits, 62)).otherwise(_half_even_scaled(x, digits, 52))
-
-
-def _half_even_scaled(x: Column, digits: int, bits: int) -> Column:
-    one = F.lit(2**bits).cast("decimal(20,0)")
-    half = F.lit(2 ** (bits - 1)).cast("decimal(20,0)")
-    scaled = (x * float(2**bits)).try_cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
-    rest = scaled % one
-    whole = ((scaled - rest) / one).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    return (whole + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)
+    bound = F.transform(F.array(col(c).cast("double")), lambda x: _half_even_scaled(x, digits))
+    return F.element_at(bound, 1)
+
+
+def _half_even_scaled(x: Column, digits: int) -> Column:
+    """Bound to a lambda variable, so the argument is computed once and the generated code stays small."""
+    bits = F.when(x < 1, 62).otherwise(52)
+    one = F.pow(F.lit(2.0), bits).cast("decimal(20,0)")
+    scaled = (x * F.pow(F.lit(2.0), bits)).try_cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
+    parts = F.transform(
+        F.array(F.struct(scaled.alias("scaled"), (scaled % one).alias("rest"))),
+        lambda p: F.struct(((p["scaled"] - p["rest"]) / one).cast("decimal(20,0)").alias("whole"), (p["rest"] * 2).alias("twice")),
+    )
+    rounded = F.transform(
+        parts,
+        lambda p: p["whole"] + F.when((p["twice"] > one) | ((p["twice"] == one) & (p["whole"] % 2 == 1)), 1).otherwise(0),
+    )
+    return F.element_at(rounded, 1).cast("double") / float(10**digits)
 
 
 def ratio(numerator: Column | str, denominator: Column | str, digits: int | None = 4) -> Column:

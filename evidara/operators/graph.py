@@ -354,7 +354,7 @@ def neighbours(edge_rows: DataFrame, selected: DataFrame) -> DataFrame:
     out = edge_rows.select("workspace_id", F.col("source_id").alias("selected_id"), F.col("target_id").alias("id"))
     back = edge_rows.select("workspace_id", F.col("target_id").alias("selected_id"), F.col("source_id").alias("id"))
     found = out.unionByName(back).join(picked, ["workspace_id", "selected_id"], "left_semi")
-    return found.unionByName(picked.withColumn("id", F.col("selected_id"))).distinct()
+    return found.unionByName(picked.withColumn("id", F.col("selected_id"))).select("workspace_id", "id").distinct()
 
 
 def path_edges(edge_rows: DataFrame, assets: DataFrame, k: int = V.TOP_EDGES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,68 +39,69 @@ def inverse_document_frequencies(chunks: DataFrame, text: str = "text") -> DataF
 
 
 def lexical_scores(
-    chunks: DataFrame, queries: DataFrame, query_key: str = "query_id", chunk_key: str = "chunk_id"
+    chunks: DataFrame,
+    queries: DataFrame,
+    query_key: str = "query_id",
+    chunk_columns: Sequence[str] = ("chunk_id", "document"),
 ) -> DataFrame:
-    """(query, chunk, score) for all pairs with a positive score.
+    """(query, chunk columns, score) for all pairs with a positive score.
 
-    ``chunks``: chunk_key, document (file name), text.  ``queries``: query_key, query.
-    A query term counts as often as the query repeats it.  Chunk tokens are exploded once
-    and meet the query vocabulary before anything is counted, so the shuffles carry only
-    matching terms; bigrams work the same way.
+    ``chunks``: chunk_columns (an identifying column and the file name ``document``) and
+    text.  ``queries``: query_key, query; a term counts as often as the query repeats it.
+
+    Words, word pairs and file-name words of a chunk are exploded in one pass and meet
+    the query vocabulary before anything is counted, so the shuffles carry matching
+    features only.  The counted features are used twice (for document frequencies and
+    for scores) from one exchange.
     """
+    columns = list(chunk_columns)
     terms = queries.select(query_key, X.query_terms("query").alias("_terms"))
-    words = terms.select(query_key, F.explode("_terms").alias("term"))
-    wanted = words.groupBy(query_key, "term").agg(F.count("*").alias("weight"))
-    vocabulary = words.select("term").distinct()
+    asked = F.concat(
+        _features("word", F.col("_terms")), _features("name", F.col("_terms")), _features("pair", X.bigrams("_terms"))
+    )
+    wanted = (
+        terms.select(query_key, F.inline(asked)).groupBy(query_key, "kind", "feature").agg(F.count("*").alias("weight"))
+    )
+    vocabulary = wanted.select("kind", "feature").distinct()
 
-    tokens = chunks.select(chunk_key, "document", X.search_tokens("text").alias("_tokens"))
-    total = chunks.agg(F.count("*")).scalar()
-    in_text = (
-        tokens.select(chunk_key, F.explode("_tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(chunk_key, "term")
-        .agg(F.count("*").alias("tf"))
+    tokens = chunks.select(*columns, X.search_tokens("text").alias("_tokens"))
+    held = F.concat(
+        _features("word", F.col("_tokens")),
+        _features("name", F.array_distinct(X.search_tokens("document"))),
+        _features("pair", F.array_distinct(X.bigrams("_tokens"))),
     )
-    in_name = (
-        tokens.select(chunk_key, F.explode(F.array_distinct(X.search_tokens("document"))).alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .withColumn("named", F.lit(1))
+    postings = (
+        tokens.select(*columns, F.inline(held))
+        .join(vocabulary, ["kind", "feature"], "left_semi")
+        .groupBy(*columns, "kind", "feature")
+        .agg(F.count("*").alias("tf"))
     )
+    total = chunks.agg(F.count("*")).scalar()
     frequencies = (
-        in_text.groupBy("term")
+        postings.where(F.col("kind") == "word")
+        .groupBy("feature")
         .agg(F.count("*").alias("_df"))
-        .select("term", idf(F.col("_df"), total).alias("idf"))
-    )
-    weights = wanted.join(frequencies, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-
-    def scored(postings: DataFrame, value: Column) -> DataFrame:
-        joined = postings.join(weights, "term")
-        return joined.groupBy(query_key, chunk_key).agg(F.sum(F.col("weight") * value).alias("part"))
-
-    identifier = F.when(X.is_identifier_term("term"), V.IDENTIFIER_WEIGHT).otherwise(0.0)
-    parts = scored(in_text, (1 + F.log("tf")) * F.col("idf") + identifier).unionByName(
-        scored(in_name, V.FILENAME_WEIGHT * F.col("idf"))
+        .select("feature", idf(F.col("_df"), total).alias("idf"))
     )
-
-    pairs = (
-        terms.select(query_key, F.explode(X.bigrams("_terms")).alias("pair"))
-        .groupBy(query_key, "pair")
-        .agg(F.count("*").alias("weight"))
-    )
-    held = tokens.select(chunk_key, F.explode(F.array_distinct(X.bigrams("_tokens"))).alias("pair"))
-    phrases = (
-        held.join(pairs, "pair")
-        .groupBy(query_key, chunk_key)
-        .agg((F.sum("weight") * V.BIGRAM_WEIGHT).alias("part"))
+    weights = wanted.join(frequencies, "feature", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    identifier = F.when(X.is_identifier_term("feature"), V.IDENTIFIER_WEIGHT).otherwise(0.0)
+    value = (
+        F.when(F.col("kind") == "word", (1 + F.log("tf")) * F.col("idf") + identifier)
+        .when(F.col("kind") == "name", V.FILENAME_WEIGHT * F.col("idf"))
+        .otherwise(V.BIGRAM_WEIGHT)
     )
     return (
-        parts.unionByName(phrases)
-        .groupBy(query_key, chunk_key)
-        .agg(F.round(F.sum("part"), 6).alias("score"))
+        postings.join(weights, ["kind", "feature"])
+        .groupBy(query_key, *columns)
+        .agg(F.round(F.sum(F.col("weight") * value), 6).alias("score"))
         .where(F.col("score") > 0)
     )
 
 
+def _features(kind: str, items: Column) -> Column:
+    return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature")))
+
+
 def lexical_top_k(
     chunks: DataFrame,
     queries: DataFrame,
@@ -110,12 +111,12 @@ def lexical_top_k(
 ) -> DataFrame:
     """The k best chunks per query; ties by document, page, chunk index.
 
-    Scores travel with the three sort columns only; text can be joined to the k hits.
+    Scores travel with the sort columns only; text can be joined to the k hits.
     """
-    scores = lexical_scores(chunks, queries, query_key, chunk_key)
-    places = chunks.select(chunk_key, "document", "page", "chunk_index")
+    columns = [chunk_key, "document", "page", "chunk_index"]
+    scores = lexical_scores(chunks, queries, query_key, columns)
     order = [F.desc("score"), F.col("document"), F.col("page"), F.col("chunk_index")]
-    return top_rows(scores.join(places, chunk_key), [query_key], order, k)
+    return top_rows(scores, [query_key], order, k)
 
 
 # -- vectors -------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.functions import text as X
 from evidara.functions import vocab as V
 from evidara.operators import graph as G
 from evidara.operators import reports as R
@@ -342,11 +343,12 @@ def _(t):
     return bundle.where(F.col("section") != "path_edge").groupBy("query_id", "section").agg(F.count("*").alias("entries"))
 
 
-@query("rca_bundle", "K2 B27", f"""WITH {MATCHES}, lists AS (SELECT item_id AS query_id, 'likely_causes' AS section, split_part(text, ' ', 1) AS item FROM benchmark UNION ALL SELECT item_id, 'likely_causes', split_part(text, ' ', 2) FROM benchmark
+@query("rca_bundle", "K2 B27", f"""WITH {MATCHES}, lists AS (SELECT item_id AS query_id, 'likely_causes' AS section, split_part({Q.squeeze('text')}, ' ', 1) AS item FROM benchmark UNION ALL SELECT item_id, 'likely_causes', split_part({Q.squeeze('text')}, ' ', 2) FROM benchmark
  UNION ALL SELECT item_id, 'recommended_checks', 'Check it' FROM benchmark UNION ALL SELECT item_id, 'preventive_actions', 'LLM RCA response returned no preventive_actions.' FROM benchmark)
 SELECT l.query_id, l.section, l.item AS text, m.rank AS citation, m.filename AS document FROM lists l LEFT JOIN (SELECT * FROM m WHERE rank <= 2) m USING (query_id)""")
 def _(t):
-    first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
+    words = F.split(X.squeeze("text"), " ")
+    first, second = words[0], words[1]
     lists = F.struct(F.array(first, second, F.lit(" ")).alias("likely_causes"), F.array(F.lit(" Check  it ")).alias("recommended_checks"), F.array(F.lit("")).alias("preventive_actions"))
     payload = t.benchmark.select(F.col("item_id").alias("query_id"), F.to_json(lists).alias("content"))
     return R.rca_items(payload, R.citations(matches(t))).select("query_id", "section", "text", "citation", "document")
