@@ -87,15 +87,19 @@ def half_even(c: Column | str, digits: int) -> Column:
     decimal(38,0) arithmetic on the scaled integer is exact too, so the decision is
     made on the true value and stays inside the JVM.
     """
-    bound = F.transform(F.array(col(c).cast("double")), lambda x: _half_even_scaled(x, digits))
-    return F.element_at(bound, 1)
+    x = col(c).cast("double")
+    shifted = x * float(10**digits)
+    # Only values next to a tie need the exact decision.
+    clear = F.abs(shifted - F.floor(shifted) - 0.5) > 1e-6
+    exact = F.element_at(F.transform(F.array(x), lambda v: _half_even_scaled(v, digits)), 1)
+    return F.when(clear, F.floor(shifted + 0.5) / float(10**digits)).otherwise(exact)
 
 
 def _half_even_scaled(x: Column, digits: int) -> Column:
     """Bound to a lambda variable, so the argument is computed once and the generated code stays small."""
-    bits = F.when(x < 1, 62).otherwise(52)
-    one = F.pow(F.lit(2.0), bits).cast("decimal(20,0)")
-    scaled = (x * F.pow(F.lit(2.0), bits)).try_cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
+    unit = F.when(x < 1, F.lit(2**62)).otherwise(F.lit(2**52))
+    one = unit.cast("decimal(20,0)")
+    scaled = (x * unit.cast("double")).try_cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
     parts = F.transform(
         F.array(F.struct(scaled.alias("scaled"), (scaled % one).alias("rest"))),
         lambda p: F.struct(((p["scaled"] - p["rest"]) / one).cast("decimal(20,0)").alias("whole"), (p["rest"] * 2).alias("twice")),

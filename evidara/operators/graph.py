@@ -114,7 +114,7 @@ def _entity_id() -> Column:
 
 # -- edges ---------------------------------------------------------------------
 def edge_record(
-    confidence: Column | str,
+    confidence: Column | str | float,
     source_document: Column | str,
     evidence_text: Column | str,
     forced: str | None = None,
@@ -124,11 +124,14 @@ def edge_record(
 
     Confidence is clamped and rounded on its exact binary value before it is compared.
     """
-    number = F.col(confidence) if isinstance(confidence, str) else confidence
     document = F.col(source_document) if isinstance(source_document, str) else source_document
     evidence = F.col(evidence_text) if isinstance(evidence_text, str) else evidence_text
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number.cast("double"), F.lit(0.0))))
-    rounded = W.half_even(clamped, 2)
+    if isinstance(confidence, float):
+        rounded = F.lit(round(max(0.0, min(1.0, confidence)), 2))
+    else:
+        number = F.col(confidence) if isinstance(confidence, str) else confidence
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number.cast("double"), F.lit(0.0))))
+        rounded = W.half_even(clamped, 2)
     missing = (F.coalesce(document, F.lit("")) == "") | (F.coalesce(evidence, F.lit("")) == "")
     if forced in V.VALIDATION_RANK:
         status, why = F.lit(forced), F.lit(reason or V.REASON_FORCED)
@@ -153,7 +156,6 @@ def edges(
     reason: str = "",
 ) -> DataFrame:
     relation = F.lit(relation) if isinstance(relation, str) else relation
-    number = F.lit(confidence) if isinstance(confidence, float) else confidence
     document, evidence = F.coalesce(document, F.lit("")), F.coalesce(evidence, F.lit(""))
     return df.select(
         "workspace_id",
@@ -161,7 +163,7 @@ def edges(
         target.alias("target_id"),
         relation.alias("label"),
         relation.alias("relation_type"),
-        *edge_record(number, document, evidence, forced, reason),
+        *edge_record(confidence, document, evidence, forced, reason),
         document.alias("source_document"),
         F.coalesce(F.nullif(page.cast("int"), F.lit(0)), F.lit(1)).alias("source_page"),
         evidence.alias("evidence_text"),

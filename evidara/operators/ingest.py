@@ -187,13 +187,13 @@ def evidence_batches(
     placed = placed.withColumn("_segment", F.floor((F.col("_pos") - 1) / segment))
     key_ddl = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
-    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _with_key(keys, key, _segment_steps(_ordered_lengths(pdf), limit), {"_segment": key[len(keys)]})
 
-    def entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _with_key(keys, key, _segment_entries(pdf))
 
-    def number(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         marks = _assign(pdf["_len"].to_numpy(), int(pdf["_entry"].iloc[0]), int(pdf["_batch"].iloc[0]), limit)
         return _with_key(keys, key, pd.DataFrame({"_ord": pdf["_ord"].to_numpy(), "batch": marks}))

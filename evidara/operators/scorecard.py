@@ -49,23 +49,40 @@ def _combined(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def present_terms(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct terms that occur in any text.
+def constant_arrays(table: DataFrame, key: str, columns: Sequence[str], per_pass: int = TERMS_PER_PASS) -> list[Column]:
+    """The rows of a small table as constant arrays of structs, at most about ``per_pass`` rows each.
 
-    Check terms are few: up to ``TERMS_PER_PASS`` (counted) ride along as one constant
-    array, so the texts are scanned without a shuffle; more terms take more passes.
+    The row count is checked: a larger table gives more arrays, hence more passes over
+    whatever is compared with it, and no single array grows with the table.
     """
-    wanted = terms.select("term").distinct()
-    count = wanted.count()
-    passes = max(1, -(-count // TERMS_PER_PASS))
+    passes = max(1, -(-table.count() // per_pass))
+    arrays = []
+    for number in range(passes):
+        share = table.where(F.pmod(F.xxhash64(key), F.lit(passes)) == number) if passes > 1 else table
+        arrays.append(share.agg(F.collect_list(F.struct(*columns))).scalar())
+    return arrays
+
+
+def present_terms(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct terms that occur in any text; texts are scanned without a shuffle."""
+    wanted = terms.select("term").distinct().withColumn("normal", X.normalise("term"))
     haystack = X.normalise(F.coalesce(F.col(text), F.lit("")))
     found = []
-    for number in range(passes):
-        share = wanted.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == number) if passes > 1 else wanted
-        array = share.agg(F.collect_set("term")).scalar()
-        hits = F.filter(F.col("_terms"), lambda t: F.contains(F.col("_hay"), X.normalise(t)))
+    for array in constant_arrays(wanted, "term", ["term", "normal"]):
+        hits = F.filter(F.col("_terms"), lambda t: F.contains(F.col("_hay"), t["normal"]))
         scanned = texts.select(haystack.alias("_hay"), array.alias("_terms"))
-        found.append(scanned.select(F.explode(hits).alias("term")).distinct())
+        found.append(scanned.select(F.explode(hits).alias("hit")).select("hit.term").distinct())
+    return reduce(DataFrame.unionByName, found)
+
+
+def literal_holders(texts: DataFrame, items: DataFrame, keys: Sequence[str], item_key: str) -> DataFrame:
+    """(keys, item) for every text that literally holds an item's normal or compact form."""
+    forms = items.select(item_key, X.compact("text").alias("c"), X.normalise("text").alias("n"))
+    found = []
+    for array in constant_arrays(forms, item_key, [item_key, "c", "n"]):
+        scanned = texts.select(*keys, X.compact("text").alias("_c"), X.normalise("text").alias("_n"), array.alias("_items"))
+        held = F.filter("_items", lambda i: F.contains(F.col("_c"), i["c"]) | F.contains(F.col("_n"), i["n"]))
+        found.append(scanned.select(*keys, F.explode(held).alias("i")).select(*keys, f"i.{item_key}"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -49,10 +49,10 @@ def lexical_scores(
     ``chunks``: chunk_columns (an identifying column and the file name ``document``) and
     text.  ``queries``: query_key, query; a term counts as often as the query repeats it.
 
-    Words, word pairs and file-name words of a chunk are exploded in one pass and meet
-    the query vocabulary before anything is counted, so the shuffles carry matching
-    features only.  The counted features are used twice (for document frequencies and
-    for scores) from one exchange.
+    Words (with their next word) and file-name words of a chunk are exploded in one pass
+    and meet the query vocabulary before anything is counted, so the one large shuffle
+    carries matching features only.  It is used twice: for document frequencies and for
+    scores.  ``chunk_columns`` must start with the identifying column.
     """
     columns = list(chunk_columns)
     terms = queries.select(query_key, X.query_terms("query").alias("_terms"))
@@ -64,15 +64,20 @@ def lexical_scores(
     )
     vocabulary = wanted.select("kind", "feature").distinct()
 
-    tokens = chunks.select(*columns, X.search_tokens("text").alias("_tokens"))
-    held = F.concat(
-        _features("word", F.col("_tokens")),
-        _features("name", F.array_distinct(X.search_tokens("document"))),
-        _features("pair", F.array_distinct(X.bigrams("_tokens"))),
+    tokens = chunks.select(*columns, X.search_tokens("text").alias("_word"))
+    ahead = tokens.withColumn("_next", F.slice("_word", F.lit(2), F.greatest(F.size("_word"), F.lit(1))))
+    names = F.transform(
+        F.array_distinct(X.search_tokens("document")),
+        lambda x: F.struct(x.alias("_word"), F.lit(IN_NAME).alias("_next")),
     )
+    steps = ahead.select(*columns, F.inline(F.concat(F.arrays_zip("_word", "_next"), names)))
+    named = F.array(_feature("name", F.col("_word")))
+    spoken = F.array(_feature("word", F.col("_word")), _feature("pair", F.concat("_word", F.lit(" "), "_next")))
     postings = (
-        tokens.select(*columns, F.inline(held))
+        steps.select(*columns, F.inline(F.when(F.col("_next") == IN_NAME, named).otherwise(spoken)))
         .join(vocabulary, ["kind", "feature"], "left_semi")
+        # Partitioned by chunk, the counts, the weights and the scores need no further exchange.
+        .repartition(columns[0])
         .groupBy(*columns, "kind", "feature")
         .agg(F.count("*").alias("tf"))
     )
@@ -98,8 +103,16 @@ def lexical_scores(
     )
 
 
+# Stands in for the next word of a file-name word, which no text token can equal.
+IN_NAME = "\0"
+
+
+def _feature(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("feature"))
+
+
 def _features(kind: str, items: Column) -> Column:
-    return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature")))
+    return F.transform(items, lambda x: _feature(kind, x))
 
 
 def lexical_top_k(

@@ -9,6 +9,7 @@ from evidara.functions import text as X
 from evidara.functions import vocab as V
 from evidara.functions.evidence import overlap, page_features, supported
 from evidara.operators import merge, validate
+from evidara.operators.scorecard import literal_holders
 from evidara.plans import standins as S
 from evidara.plans import twin as Q
 from evidara.plans.registry import query
@@ -49,13 +50,7 @@ WITH p AS (SELECT doc_id, lang, {Q.page_columns('text')} FROM documents), b AS (
  hit AS (SELECT item_id, doc_id FROM b JOIN p ON contains(p.compact, {Q.compact('b.text')}) OR contains(p.norm, {Q.norm('b.text')}))
 SELECT item_id, count(*) AS pages, min(doc_id) AS first_page FROM hit GROUP BY item_id""")
 def _(t):
-    # Literal provenance of every benchmark item in every document: the few items ride
-    # along as one constant array, so the documents are scanned once without a shuffle.
-    items = t.benchmark.select("item_id", X.compact("text").alias("c"), X.normalise("text").alias("n"))
-    array = items.agg(F.collect_list(F.struct("item_id", "c", "n"))).scalar()
-    pages = t.documents.select("doc_id", X.compact("text").alias("compact"), X.normalise("text").alias("norm"), array.alias("items"))
-    held = F.filter("items", lambda i: F.contains(F.col("compact"), i["c"]) | F.contains(F.col("norm"), i["n"]))
-    hits = pages.select("doc_id", F.explode(held).alias("i")).select("doc_id", "i.item_id")
+    hits = literal_holders(t.documents, t.benchmark, ["doc_id"], "item_id")
     return hits.groupBy("item_id").agg(F.count("*").alias("pages"), F.min("doc_id").alias("first_page"))
 
 

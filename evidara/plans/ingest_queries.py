@@ -241,11 +241,13 @@ def _(t):
 
 
 @query("source_pages", "E12", f"""
-SELECT filename, string_agg(text, ' ' ORDER BY first_id) AS text FROM (
- SELECT source AS filename, c AS text, min(doc_id) AS first_id FROM (SELECT source, doc_id, {Q.squeeze('text')} AS c FROM documents) WHERE c <> '' GROUP BY source, c) GROUP BY filename""")
+SELECT document_id AS filename, page, string_agg(text, ' ' ORDER BY first_index) AS text FROM (
+ SELECT document_id, page, text, min(chunk_index) AS first_index FROM ({Q.chunks(PAGED, V.CHUNK_WORDS, V.CHUNK_OVERLAP)}) GROUP BY ALL) GROUP BY ALL""")
 def _(t):
-    chunks = t.documents.select(F.lit("w").alias("workspace_id"), F.col("source").alias("filename"), F.lit(1).alias("page"), F.col("doc_id").alias("id"), "text")
-    return ingest.source_pages(chunks).select("filename", "text")
+    chunks = ingest.chunk_pages(paged(t), ["document_id"])
+    doubled = chunks.unionByName(chunks.withColumn("chunk_index", F.col("chunk_index") + 1_000_000_000))
+    renamed = doubled.withColumnRenamed("document_id", "filename")
+    return ingest.source_pages(renamed, ["filename", "page"], "chunk_index")
 
 
 PACK_SQL = """

@@ -21,7 +21,18 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, "doc_id") if name == "documents" else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over the cores when a table arrives in fewer splits than there are cores.
+
+    Text rules are CPU-bound and a small table is often one row group.  A table with
+    enough splits is left as it is scanned, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def query(name: str, covers: str, sql: str | None = None):
