@@ -45,15 +45,15 @@ VISIBLE = EDGES + NODES + """, shown AS MATERIALIZED (SELECT * FROM edges_t e WH
 
 
 def nodes(t) -> DataFrame:
-    return G.derive_nodes(S.graph_tables(t))
+    return t.once("nodes", lambda: G.derive_nodes(S.graph_tables(t)))
 
 
 def edges(t) -> DataFrame:
-    return G.derive_edges(S.graph_tables(t))
+    return t.once("edges", lambda: G.derive_edges(S.graph_tables(t)))
 
 
 def shown(t) -> DataFrame:
-    return G.visible_edges(edges(t), nodes(t))
+    return t.once("shown", lambda: G.visible_edges(edges(t), nodes(t)))
 
 
 @query("graph_edges", "J1 J2 H2 D13", f"{EDGES} SELECT workspace_id, source_id, target_id, relation_type, round(confidence, 2) AS confidence, validation_status, source_document, source_page, evidence_text FROM edges_t")

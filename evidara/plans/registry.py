@@ -19,11 +19,21 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.plans: dict[str, object] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
+        return self.once(name, lambda: self._read(name))
+
+    def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread(df, "doc_id") if name == "documents" else df
 
+    def once(self, name: str, make: Callable[[], object]):
+        """Build a plan once per query, so shared parts are one plan (and one exchange)."""
+        if name not in self.plans:
+            self.plans[name] = make()
+        return self.plans[name]
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows over the cores when a table arrives in fewer splits than there are cores.

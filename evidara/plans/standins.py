@@ -184,10 +184,11 @@ def links(t) -> DataFrame:
 
 
 def graph_tables(t) -> dict[str, DataFrame]:
-    return {
-        "documents": documents(t), "entities": entities(t), "assets": assets(t), "gaps": gaps(t), "events": events(t),
-        "asset_documents": links(t), "contradictions": contradictions(t),
+    makers = {
+        "documents": documents, "entities": entities, "assets": assets, "gaps": gaps, "events": events,
+        "asset_documents": links, "contradictions": contradictions,
     }
+    return {name: t.once(f"standin {name}", lambda make=make: make(t)) for name, make in makers.items()}
 
 
 WITH = (
