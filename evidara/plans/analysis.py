@@ -61,7 +61,10 @@ def run_analysis(payloads: DataFrame, chunks: DataFrame, documents: DataFrame) -
     good = unwrapped.join(failed.select("workspace_id"), "workspace_id", "left_anti")
     pages = settle(validate.feature_table(ingest.source_pages(chunks)))
     checked = validate.validate_payloads(good, pages, documents)
-    accepted = {kind: settle(validate.accepted(df)) for kind, df in checked.items()}
+    accepted = {kind: validate.accepted(df) for kind, df in checked.items()}
+    # Read by several merges; the other kinds are read once and fixed when they get their ids.
+    for kind in ("assets", "compliance_gaps"):
+        accepted[kind] = settle(accepted[kind])
     merged = merge.merge_analysis(accepted)
     links = merge.asset_sources(accepted["assets"], documents)
     tables = _with_ids(merged)
@@ -85,10 +88,10 @@ def run_analysis(payloads: DataFrame, chunks: DataFrame, documents: DataFrame) -
 
 
 def _with_ids(merged: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Surrogate ids per workspace in record order; the stored rows are fixed at the same time."""
+    """Surrogate ids per workspace in record order; numbering fixes the rows (``position`` checkpoints)."""
     tables = {"assets": settle(merged["assets"])}
     for kind in ("entities", "timeline_events", "compliance_gaps", "contradictions"):
-        tables[kind] = settle(position(merged[kind], ["workspace_id"], [F.col("ord")], "id"))
+        tables[kind] = position(merged[kind], ["workspace_id"], [F.col("ord")], "id")
     tables["entities"] = tables["entities"].withColumnRenamed("source_page", "page")
     return tables
 
