@@ -55,20 +55,26 @@ def resolve_references(references: DataFrame, pages: DataFrame, documents: DataF
 def attach_pages(
     records: DataFrame, resolved: DataFrame, features: DataFrame, side: str = ""
 ) -> DataFrame:
-    """Join the cited page's identity, text and features to records (left join)."""
-    renames = {
-        "ref_filename": f"ref_filename{side}",
-        "ref_page": f"ref_page{side}",
-        "filename": f"source_document{side}",
-        "page": f"source_page{side}",
-        "document_id": f"document_id{side}",
-    }
-    wide = resolved.join(features, ["workspace_id", "filename", "page"])
-    for name in ("norm", "compact", "ids", "tokens", "text"):
-        renames[f"page_{name}"] = f"page{side}_{name}"
-    return records.join(
-        wide.withColumnsRenamed(renames), ["workspace_id", f"ref_filename{side}", f"ref_page{side}"], "left"
+    """Join the cited page's identity, text and features to records (left joins).
+
+    The narrow reference table goes first, so the wide page features cross the network once.
+    """
+    place = ["workspace_id", f"source_document{side}", f"source_page{side}"]
+    found = resolved.withColumnsRenamed(
+        {
+            "ref_filename": f"ref_filename{side}",
+            "ref_page": f"ref_page{side}",
+            "filename": place[1],
+            "page": place[2],
+            "document_id": f"document_id{side}",
+        }
+    )
+    wide = features.withColumnsRenamed(
+        {"filename": place[1], "page": place[2]}
+        | {f"page_{name}": f"page{side}_{name}" for name in ("norm", "compact", "ids", "tokens", "text")}
     )
+    named = records.join(found, ["workspace_id", f"ref_filename{side}", f"ref_page{side}"], "left")
+    return named.join(wide, place, "left")
 
 
 def reference_filename() -> Column:
