@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python call site of every column costs seconds on wide plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -44,16 +46,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that outlives a task: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared
-    storage, survives lost executors).  Only where nothing is configured, as on a
-    laptop, a temporary folder is used.
+    Only a session on one machine may go without that setting; it gets a folder of its own.
+    On a cluster a driver's folder is not seen by executors, so there the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="evidara-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
