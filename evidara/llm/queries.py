@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import chat, personal, quality
+from evidara.llm import chat, packing, personal, quality, simhash
 from evidara.llm.base import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@register
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its window and place there."""
+    return packing.packed(packing.pieces(texts(read(spark, folder, "documents"))))
+
+
+@register
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(texts(read(spark, folder, "documents")))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 @register
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; labels of the held-out third are never read for training."""
