@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import chat, packing, personal, quality, simhash
+from evidara.llm import chat, exact, lines, packing, personal, quality, simhash
 from evidara.llm.base import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,14 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+@register
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that repeat a recurring template, and what went."""
+    docs = texts(read(spark, folder, "documents"))
+    left = lines.deduplicated(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
+    return left.select("doc_id", "n_lines", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @register
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; labels of the held-out third are never read for training."""
@@ -84,6 +92,13 @@ FROM marked GROUP BY conv_id
 """
 
 
+@register
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best by integer inner product for every fiftieth vector."""
+    vectors = exact.quantised(read(spark, folder, "embeddings"))
+    return exact.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 @register
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, digest and spans of personal data in every document."""
