@@ -14,9 +14,11 @@ on their own; a null doc_id stays null; an empty table gives no piece; other col
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +31,8 @@ from evidara.llm.base import settle, sized
 WINDOW = 4096
 END = 2
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-# Words kept by a task with their ids; beyond it the memory is given up and filled anew.
-KEPT_WORDS = 300_000
+# Words that a worker keeps with their ids, some 200 bytes each.
+KEPT_WORDS = 1_000_000
 # Rows of a bucket within which pieces are numbered.
 BUCKET_ROWS = 50_000
 # str.split also splits at these four, which are no white space to the tokenizer.
@@ -38,31 +40,35 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[^\\S\x1c-\x1f]+")
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes.
+class Encoder(dict):
+    """Ids of whole texts as little-endian bytes; the items are the words seen so far.
 
     The tokenizer drops white space and never joins across it, so a text is encoded word by
-    word and each distinct word of a task is encoded once.
+    word.  A worker keeps its words from task to task; once ``KEPT_WORDS`` are kept, words
+    beyond them are encoded each time.
     """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BLANK.split(text) if _CONTROL.search(text) else text.split() for text in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        fresh = list({word for words in split for word in words if word not in known})
-        for low in range(0, len(fresh), 4096):
-            part = fresh[low : low + 4096]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(made.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0]
+        ids = np.array(made.ids, "<u4").tobytes()
+        if len(self) < KEPT_WORDS:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        words = _BLANK.split(text) if _CONTROL.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
+
+
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -70,15 +76,12 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(vocabulary)
+        encode = encoder(vocabulary).encode
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += last
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text or "") + last
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
