@@ -32,7 +32,7 @@ WINDOW = 4096
 END = 2
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 # Words that a worker keeps with their ids, some 200 bytes each.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 # Rows of a bucket within which pieces are numbered.
 BUCKET_ROWS = 50_000
 # str.split also splits at these four, which are no white space to the tokenizer.
