@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -55,8 +56,16 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
 
     def __missing__(self, word: str) -> bytes:
-        made = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0]
-        ids = np.array(made.ids, "<u4").tobytes()
+        plain = word.isascii() and "<|" not in word
+        low = word.lower() if plain else word
+        stem = low.rstrip(punctuation) if plain else low
+        if stem != low and stem and stem[-1].isalnum():
+            ids = self[stem] + self[low[len(stem) :]]  # marks are cut off from letters and digits
+        elif low != word:
+            ids = self[low]
+        else:
+            made = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0]
+            ids = np.array(made.ids, "<u4").tobytes()
         if len(self) < KEPT_WORDS:
             self[word] = ids
         return ids

@@ -99,6 +99,14 @@ def test_encoder_on_every_kind_of_blank():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, text
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("aBÉéΣ09.,!'%<|>&stSreéx \t", max_size=40) | st.sampled_from(["x<|endoftext|>.", "It's'.", "''s,", "a,.B!!", "1.2,", "İ.", "ΑΣ."]))
+def test_encoder_on_marks_and_cases(text):
+    known = packing.encoder(packing.VOCABULARY)
+    ids = known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(known.encode(text), "<u4").tolist() == ids
+
+
 def test_odd_inputs(spark):
     long = "alpha beta, gamma's 12 " * 40_000
     rows = [(1, None, 5), (2, "", 5), (3, long, 5), (4, "<|endoftext|> É́ x y\x1cz", 5), (None, " \n", 5)]
