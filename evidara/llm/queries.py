@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import chat, exact, lines, packing, personal, quality, simhash
+from evidara.llm import chat, exact, lines, nearest, packing, personal, quality, simhash
 from evidara.llm.base import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_lines", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@register
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest found by inner product for every twentieth vector."""
+    vectors = nearest.usable(read(spark, folder, "embeddings"))
+    return nearest.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 @register
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; labels of the held-out third are never read for training."""
