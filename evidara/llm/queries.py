@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import chat, exact, lines, nearest, packing, personal, quality, simhash
+from evidara.llm import bpe, chat, exact, lines, nearest, packing, personal, quality, simhash
 from evidara.llm.base import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ FROM marked GROUP BY conv_id
 """
 
 
+@register
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and the text decoded from them, as digests."""
+    return bpe.digests(bpe.encoded(texts(read(spark, folder, "documents"))))
+
+
 @register
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best by integer inner product for every fiftieth vector."""

@@ -67,14 +67,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
-    """doc_id, text -> doc_id and the fingerprint as a signed long."""
+    """``docs`` with its ``text`` replaced by the fingerprint, a signed long named ``column``."""
+    place = docs.columns.index("text")
+    names = [column if c == "text" else c for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", column])
+            made = np.array([fingerprint(t or "") for t in batch.column(place).to_pylist()], np.uint64)
+            columns = list(batch.columns)
+            columns[place] = pa.array(made.view(np.int64))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id long, {column} long")
+    return docs.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
 # --------------------------------------------------------------- the trie join of one task
@@ -280,6 +284,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def roots(distinct: DataFrame) -> DataFrame:
+    """Distinct ``fp`` (any other columns are kept) -> the same with ``root``, equal within a component."""
+    found = components(links(distinct.select("fp"), distinct.count()))
+    placed = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, fp, component_id (the smallest doc_id reachable).
 
@@ -287,15 +298,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other; repeated rows stay, each with the same component; a null doc_id is never a minimum
     unless the component has no other id; an empty table gives an empty result.
     """
-    marked = settle(fingerprints(docs))
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), distinct.count()))
-    # Component id of each distinct fingerprint: the least id over all its members.
-    placed = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = settle(fingerprints(docs.select("doc_id", "text")))
+    placed = roots(settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def heads(docs: DataFrame, text_hash: str = "text_hash") -> DataFrame:
+    """doc_id, text -> (doc_id, xxhash64 of the text) of one row of each component.
+
+    The row with the smallest doc_id, null ids last; of equal ids the smallest text hash.
+    """
+    marked = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    placed = roots(settle(marked.groupBy("fp").agg(F.min(row).alias("head"))))
+    chosen = placed.groupBy("root").agg(F.min("head").alias("head"))
+    return chosen.select("head.doc_id", F.col("head.mark").alias(text_hash))
+
+
 def hexadecimal(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
