@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import bpe, chat, exact, lines, nearest, packing, personal, quality, simhash
-from evidara.llm.base import read, texts
+from evidara.llm import bpe, chat, exact, katz, lines, nearest, packing, personal, quality, simhash
+from evidara.llm.base import bucket_of, read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,13 @@ def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+@register
+def op5_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents; the rows with remainder 2 are held out of the counts."""
+    docs = texts(read(spark, folder, "documents"))
+    return katz.scored(docs, bucket_of("doc_id", 7) == 2)
+
+
 @register
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; labels of the held-out third are never read for training."""
