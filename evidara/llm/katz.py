@@ -109,7 +109,7 @@ class Words:
         if len(self.known) > 500_000:
             self.known = {}
         known = self.known
-        for word in set(words) - known.keys():
+        for word in set(words).difference(known):
             known[word] = xxhash.xxh64_intdigest(word)
         out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         return np.append(out, np.uint64(END))
