@@ -14,7 +14,7 @@ How it runs.  Words are told apart by 64-bit hashes.  A chunk is a set of docume
 small enough for a task; what a chunk asks for travels as packed sorted arrays:
 
 1. words: map tasks send their distinct words, training counts, and the chunks that hold them to
-   the word partitions, which answer each chunk with the total counts of its words;
+   the word partitions, which answer each chunk with numbers and total counts for its words;
 2. bigrams: each chunk sends its distinct bigrams with counts and places to the partition of the
    context (a context of over ``HOT`` tokens is spread by the whole bigram), where the table of
    the partition is formed: totals, backoff weights, log probabilities; sums per document go back;
@@ -106,7 +106,7 @@ class Words:
     def of(self, text: str) -> np.ndarray:
         """Hashes of the tokens of a text, the end included."""
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known = {}
         known = self.known
         for word in set(words).difference(known):
@@ -148,17 +148,20 @@ def _table(rows: list[tuple], schema: str) -> dict[str, pa.Array]:
 # ------------------------------------------------------------- pass 1: counts of words
 
 ASK_WORDS = "part int, keys binary, counts binary, times binary, chunks binary"
-ANSWER_WORDS = "chunk int, keys binary, counts binary, facts array<long>, hot array<long>"
+ANSWER_WORDS = "chunk int, part int, index binary, counts binary, facts array<long>, hot array<long>"
 
 
 def _ask_words(docs: DataFrame, parts: int) -> DataFrame:
     """Distinct words of a map task's documents with training counts and the chunks they are in."""
 
     def ask(rows: list[tuple[str, bool, int]], words: Words) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[2])
         t = Tokens.of([(text, train) for text, train, _ in rows], words)
         chunk = np.array([c for _, _, c in rows], np.int64)[t.document]
         train = t.train[t.document].astype(np.int64)
-        order = np.lexsort((chunk, t.token, t.token % np.uint64(parts)))
+        # By part, then word; stable, so that the chunks of a word stay in order.
+        order = np.argsort(t.token, kind="stable")
+        order = order[np.argsort((t.token[order] % np.uint64(parts)).astype(np.uint32), kind="stable")]
         token, chunk, train = t.token[order], chunk[order], train[order]
         pair = starts(token, chunk)
         word = starts(token)
@@ -176,11 +179,12 @@ def _ask_words(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows, size = Words(), [], 0
+        limit = CHUNK_CHARS
         for batch in batches:
             for text, out, chunk in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 rows.append((text, not out, chunk))
                 size += len(text) + 64
-            if size > 2 * CHUNK_CHARS:
+            if size > limit:
                 yield ask(rows, words)
                 rows, size = [], 0
         if rows:
@@ -189,25 +193,35 @@ def _ask_words(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, ASK_WORDS)
 
 
-def _answer_words(table: pa.Table) -> pa.Table:
-    """Totals of a word partition: an answer to each chunk, and one row (chunk -1) of statistics."""
-    keys = [risen(k) for k in table.column("keys").to_pylist()]
-    counts, times, chunks = ([unpack(v) for v in table.column(n).to_pylist()] for n in ("counts", "times", "chunks"))
-    total, count = summed(joined(keys, np.uint64), joined(counts, np.int64))
-    token, chunk = joined([np.repeat(k, t) for k, t in zip(keys, times, strict=True)], np.uint64), joined(chunks, np.int64)
-    order = np.lexsort((token, chunk))
-    token, chunk = token[order], chunk[order]
-    once = starts(chunk, token)
-    token, chunk = token[once], chunk[once]
-    own = count[np.searchsorted(total, token)]
-    cut = starts(chunk)
-    rows = [
-        (int(chunk[low]), rising(token[low:high]), pack(own[low:high]), None, None)
-        for low, high in zip(cut, [*cut[1:], len(chunk)], strict=True)
-    ]
-    ones = np.bincount(np.minimum(count, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
-    rows.append((-1, None, None, [int(count.sum()), int((count > 0).sum()), *ones], total[count > HOT].view(np.int64).tolist()))
-    return pa.table(_table(rows, ANSWER_WORDS))
+def _answer_words(parts: int, limit: int):
+    """Totals of a word partition: an answer to each chunk, and one row (chunk -1) of statistics.
+
+    A word's number is its place in the partition times ``parts`` plus the partition; an answer
+    lists places in the order of the hashes, which the chunk knows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        keys = [risen(k) for k in table.column("keys").to_pylist()]
+        counts, times, chunks = ([unpack(v) for v in table.column(n).to_pylist()] for n in ("counts", "times", "chunks"))
+        total, count = summed(joined(keys, np.uint64), joined(counts, np.int64))
+        place = joined([np.repeat(np.searchsorted(total, k), t) for k, t in zip(keys, times, strict=True)], np.int64)
+        chunk = joined(chunks, np.int64)
+        order = np.lexsort((place, chunk))
+        place, chunk = place[order], chunk[order]
+        once = starts(chunk, place)
+        place, chunk = place[once], chunk[once]
+        cut = starts(chunk)
+        rows = [
+            (int(chunk[low]), part, pack(np.diff(place[low:high], prepend=0)), pack(count[place[low:high]]), None, None)
+            for low, high in zip(cut, [*cut[1:], len(chunk)], strict=True)
+        ]
+        ones = np.bincount(np.minimum(count, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
+        facts = [int(count.sum()), int((count > 0).sum()), *ones]
+        rows.append((-1, part, None, None, facts, (np.flatnonzero(count > limit) * parts + part).tolist()))
+        return pa.table(_table(rows, ANSWER_WORDS))
+
+    return run
 
 
 # -------------------------------------------------------------------------------- the model
@@ -239,7 +253,7 @@ class Model:
     unigram: np.ndarray  # discounts of words
     unseen: float  # log10 probability of one unknown word
     scale: float  # of the words' own mass, so that all sums to one
-    spread: np.ndarray  # sorted hashes of contexts that are spread over partitions
+    spread: np.ndarray  # sorted numbers of contexts that are spread over partitions
 
     @staticmethod
     def of(tokens: int, words: int, ones: list[int], spread: np.ndarray) -> Model:
@@ -295,30 +309,34 @@ def _ask_bigrams(model: Model, parts: int):
         if left.num_rows:
             ids, texts, out = (left.column(n).to_pylist() for n in ("doc_id", "text", "held_out"))
             chunk, n = left.column("chunk")[0].as_py(), left.num_rows
-            keys = joined([risen(k) for k in right.column("keys").to_pylist()], np.uint64)
-            counts = joined([unpack(k) for k in right.column("counts").to_pylist()], np.int64)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
             t = Tokens.of([(text, not o) for text, o in zip(texts, out, strict=True)], Words())
-            total = lambda tokens: counts[np.searchsorted(keys, tokens)]
-            count = total(t.token)
+            keys, token = np.unique(t.token, return_inverse=True)
+            number, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            home = keys % np.uint64(parts)
+            for p, index, total in zip(*(right.column(c).to_pylist() for c in ("part", "index", "counts")), strict=True):
+                own = np.flatnonzero(home == np.uint64(p))
+                number[own], counts[own] = np.cumsum(unpack(index)) * parts + p, unpack(total)
+            before = np.concatenate(([np.searchsorted(keys, np.uint64(END))], token[:-1]))
+            count = counts[token]
             known = np.bincount(t.document, count > 0, n).astype(np.int64)
             base = np.bincount(t.document, model.base(count), n)
             facts = (ids, out, np.bincount(t.document, minlength=n).tolist(), known.tolist(), base.tolist())
             rows.append((chunk % parts, chunk, *[None] * 8, *facts))
-            part = (np.where(model.is_spread(t.before), mixed(t.before, t.token), mixed(t.before, t.before)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((t.document, t.token, t.before, part))
-            part, x, y, document = part[order], t.before[order], t.token[order], t.document[order]
-            train = t.train[document].astype(np.int64)
+            # By part, context number and word number; stable, so that documents stay in order.
+            x, y = number[before], number[token]
+            deal = mixed(x.view(np.uint64), np.where(model.is_spread(x), y, x).view(np.uint64))
+            part = (deal % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((y, x, part))
+            part, x, y, document = part[order], x[order], y[order], t.document[order]
+            single, context, train = counts[token[order]], counts[before[order]], t.train[document].astype(np.int64)
             cut = starts(part)
             for low, high in zip(cut, [*cut[1:], len(part)], strict=True):
-                first = starts(x[low:high], y[low:high])
-                fx, fy = x[low:high][first], y[low:high][first]
-                new = starts(fx)
+                first = low + starts(x[low:high], y[low:high])
+                new = starts(x[first])
                 block = (
-                    rising(fx[new]), pack(np.diff(np.append(new, len(fx)))), pack(total(fx[new])), fy.tobytes(),
-                    pack(np.add.reduceat(train[low:high], first)), pack(total(fy)),
-                    pack(np.diff(np.append(first, high - low))), pack(document[low:high]),
+                    pack(np.diff(x[first][new], prepend=0)), pack(np.diff(np.append(new, len(first)))), pack(context[first][new]),
+                    pack(y[first]), pack(np.add.reduceat(train[low:high], first - low)), pack(single[first]),
+                    pack(np.diff(np.append(first, high))), pack(document[low:high]),
                 )
                 rows.append((int(part[low]), chunk, *block, *[None] * 5))
         return pa.table(_table(rows, ASK_BIGRAMS))
@@ -345,9 +363,9 @@ def _answer_bigrams(model: Model):
             return pa.table(_table(rows, ANSWER_BIGRAMS))
         of = lambda name: [unpack(given[name][i]) for i in blocks]
         runs = of("run")
-        x = joined([np.repeat(risen(given["x"][i]), r) for i, r in zip(blocks, runs, strict=True)], np.uint64)
+        x = joined([np.repeat(np.cumsum(v), r) for v, r in zip(of("x"), runs, strict=True)], np.int64)
         context = joined([np.repeat(v, r) for v, r in zip(of("before"), runs, strict=True)], np.int64)
-        y = joined([np.frombuffer(given["y"][i], np.uint64) for i in blocks], np.uint64)
+        y = joined(of("y"), np.int64)
         train, single = joined(of("train"), np.int64), joined(of("count"), np.int64)
         order = np.lexsort((y, x))
         first = starts(x[order], y[order])
@@ -369,7 +387,7 @@ def _answer_bigrams(model: Model):
             log = np.where(keep, np.log10(katz), np.repeat(weight, width) + plain)
         lacks = np.repeat(spread, width) & ~keep
         if spread.any():
-            contexts = x[head][opens][spread].view(np.int64).tolist()
+            contexts = x[head][opens][spread].tolist()
             rows.append((-1, *[None] * 9, contexts, sum_katz[spread].tolist(), sum_plain[spread].tolist()))
         low = 0
         for i, times in zip(blocks, of("times"), strict=True):
@@ -414,20 +432,21 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     total = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     chunks, parts = sized(total, CHUNK_CHARS), sized(total // 6, PART_TOKENS)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    hot = max(HOT, total // SHARES)
     docs = docs.select("doc_id", "text", held_out.alias("held_out"), chunk.alias("chunk"))
-    answers = settle(_ask_words(docs, parts).groupBy("part").applyInArrow(_answer_words, ANSWER_WORDS))
+    answers = settle(_ask_words(docs, parts).groupBy("part").applyInArrow(_answer_words(parts, hot), ANSWER_WORDS))
     facts = answers.where("chunk = -1").agg(*[F.sum(F.get("facts", F.lit(i))).alias(f"f{i}") for i in range(CUT + 3)]).first()
     tokens, words, *ones = [int(v or 0) for v in facts]
-    # A spread context has over HOT tokens and a share of over 1 / SHARES, so there are few.
-    hot = [r[0] for r in answers.where("chunk = -1").select(F.explode("hot")).collect()] if tokens <= HOT * SHARES else []
-    model = Model.of(tokens, words, ones, np.array(hot, np.int64).view(np.uint64))
-    counts = answers.where("chunk >= 0").select("chunk", "keys", "counts")
+    # Each has over a share of 1 / SHARES of all characters, so there are few.
+    spread = [r[0] for r in answers.where("chunk = -1").select(F.explode("hot")).collect()]
+    model = Model.of(tokens, words, ones, np.array(spread, np.int64))
+    counts = answers.where("chunk >= 0").select("chunk", "part", "index", "counts")
     asked = docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_ask_bigrams(model, parts), ASK_BIGRAMS)
     sums = settle(asked.groupBy("part").applyInArrow(_answer_bigrams(model), ANSWER_BIGRAMS))
     each = sums.where("chunk = -1").select(F.explode(F.arrays_zip("context", "katz", "plain")).alias("e"))
     rows = each.groupBy("e.context").agg(F.sum("e.katz").alias("katz"), F.sum("e.plain").alias("plain")).collect()
     weights = np.zeros(len(model.spread))
     if rows:
-        place = np.searchsorted(model.spread, np.array([r["context"] for r in rows], np.int64).view(np.uint64))
+        place = np.searchsorted(model.spread, np.array([r["context"] for r in rows], np.int64))
         weights[place] = log_alpha(np.array([r["katz"] for r in rows]), np.array([r["plain"] for r in rows]))
     return sums.where("chunk >= 0").groupBy("chunk").applyInArrow(_add_up(model, weights), SCORES)

@@ -100,12 +100,7 @@ def test_many_chunks_and_spread_contexts(spark, monkeypatch, hot):
     random = np.random.default_rng(hot)
     rows = [(i, " ".join(f"w{int(x)}" for x in random.zipf(1.4, 40) % 50)) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    # Workers read the limit from the module, so the model is given its spread contexts here.
-    made_of = katz.Model.of
-    if hot == 30:
-        words = {w for _, t in rows for w in tokens(t)} - {END}
-        spread = np.array([katz.xxhash.xxh64_intdigest(w.encode()) for w in sorted(words)[:25]], np.uint64)
-        monkeypatch.setattr(katz.Model, "of", staticmethod(lambda a, b, c, _: made_of(a, b, c, spread)))
+    monkeypatch.setattr(katz, "HOT", hot)
     check(spark, rows, katz.scored(texts(df), bucket_of("doc_id", 7) == 2).collect())
 
 
@@ -113,6 +108,7 @@ def test_spread_contexts_over_partitions(spark, monkeypatch):
     """With several partitions discounts are by partition; spreading must keep sums at one."""
     monkeypatch.setattr(katz, "PART_TOKENS", 800)
     monkeypatch.setattr(katz, "CHUNK_CHARS", 5000)
+    monkeypatch.setattr(katz, "HOT", 200)
     rows = [(i, " ".join(f"v{(i * 7 + j * j) % 31}" for j in range(30))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     made = {r.doc_id: r for r in katz.scored(texts(df), bucket_of("doc_id", 7) == 2).collect()}
