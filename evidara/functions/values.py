@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidara.functions import vocab as V
 from evidara.functions.text import clean_text, col
@@ -38,11 +39,21 @@ def choice(c: Column | str, allowed: Sequence[str]) -> Column:
 
 
 def iso_date(c: Column | str) -> Column:
-    """The date part of an ISO date or date-time as text, null when it is none."""
+    """The date part of an ISO date or date-time as text, null when it is none.
+
+    The date is the one written, whatever the zone; week dates and basic forms count.
+    """
     text = clean_text(c)
-    shaped = F.when(text.rlike(V.ISO_DATE), text)
-    day = F.coalesce(F.try_to_date(shaped, "yyyy-MM-dd"), F.try_to_timestamp(shaped).cast("date"))
-    return F.date_format(day, "yyyy-MM-dd")
+    part = F.when(text.rlike(V.ISO_DATE), F.regexp_extract(text, V.ISO_DATE, 1))
+    plain = F.regexp_replace(part, "-", "")
+    week = F.when(F.contains(plain, F.lit("W")), plain)
+    number = lambda start, size: F.substring(week, start, size).try_cast("int")
+    # The fourth of January lies in week 1, which starts on the Monday before.
+    fourth = F.try_to_date(F.concat(F.substring(week, 1, 4), F.lit("0104")), "yyyyMMdd")
+    weekday = F.coalesce(number(8, 1), F.lit(1))
+    day = F.date_add(F.date_trunc("week", fourth).cast("date"), (number(6, 2) - 1) * 7 + weekday - 1)
+    day = F.when(F.weekofyear(day) == number(6, 2), day)
+    return F.date_format(F.coalesce(F.try_to_date(F.when(week.isNull(), plain), "yyyyMMdd"), day), "yyyy-MM-dd")
 
 
 def entity_value(entity_type: Column | str, value: Column | str) -> Column:
@@ -57,13 +68,15 @@ def entity_type(raw: Column | str, value: Column | str) -> Column:
 
 def confidence(c: Column | str) -> Column:
     """Clamp to [0, 1]; text that is no number, and NaN, give 0."""
-    number = F.coalesce(col(c).cast("string").try_cast("double"), F.lit(0.0))
+    number = as_number(c)
     return F.when(F.isnan(number), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
 
 
 def as_number(c: Column | str) -> Column:
     """Text to double, 0.0 when it is no number."""
-    return F.coalesce(F.trim(col(c).cast("string")).try_cast("double"), F.lit(0.0))
+    text = col(c).cast("string")
+    plain = F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("_"), F.lit(""))
+    return F.coalesce(F.when(text.rlike(V.NUMBER), plain.try_cast("double")), F.lit(0.0))
 
 
 def compare(actual: Column | str, operator: Column | str, expected: Column | str) -> Column:
@@ -155,6 +168,33 @@ def redact(entries: Column | str) -> Column:
     return F.transform_values(col(entries), lambda k, v: F.when(is_sensitive_key(k), V.REDACTED).otherwise(v))
 
 
+def redact_record(value: Column | str, kind: T.DataType) -> Column:
+    """Replace the values of sensitive keys at any depth of a record of type ``kind``.
+
+    Maps with text keys, structs and arrays are walked; a sensitive key hides whatever is below
+    it if that is text or can be cast to text, and is null otherwise.
+    """
+    c = col(value)
+
+    def hidden(to: T.DataType) -> Column:
+        return F.lit(V.REDACTED) if isinstance(to, T.StringType) else F.lit(None).cast(to)
+
+    if isinstance(kind, T.StructType):
+        fields = [
+            F.when(is_sensitive_key(F.lit(f.name)), hidden(f.dataType)).otherwise(redact_record(c[f.name], f.dataType)).alias(f.name)
+            for f in kind.fields
+        ]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        under = kind.valueType
+        return F.transform_values(
+            c, lambda k, v: F.when(is_sensitive_key(k.cast("string")), hidden(under)).otherwise(redact_record(v, under))
+        )
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redact_record(x, kind.elementType))
+    return c
+
+
 def vector_reject_reason(vector: Column | str, dim: int) -> Column:
     """Null for a usable vector."""
     v = col(vector)

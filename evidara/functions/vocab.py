@@ -42,7 +42,13 @@ IDENTIFIER = (
 TOKEN = r"[a-z0-9]+(?:[-./][a-z0-9]+)*"
 IDENTIFIER_TERM = r"\A(?:[a-z]{1,8}-\d+[a-z0-9-]*|\d+(?:\.\d+)?)\z"
 ASSET_ID = r"\A[A-Z0-9][A-Z0-9_.-]{1,79}\z"
-ISO_DATE = r"\A\d{4}-\d{2}-\d{2}([T ].*)?\z"
+# ISO 8601 dates (calendar and week, extended and basic) with an optional time and zone.
+ISO_CLOCK = (
+    r"([T ]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d([.,]\d{1,9})?)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d(:?[0-5]\d)?)?)?)?\z"
+)
+ISO_DATE = r"\A(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-?W\d{2}(-?[1-7])?)" + ISO_CLOCK
+# Spellings of a number in the model answers' language; Java's suffixes and hexadecimals are none.
+NUMBER = r"(?i)\A\s*[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*\z"
 
 # -- stop words ---------------------------------------------------------------
 EVIDENCE_STOP_WORDS = (

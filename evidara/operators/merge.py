@@ -92,7 +92,8 @@ def merge_gaps(gaps: DataFrame, keys: Sequence[Column | str] | None = None) -> D
 
     The record is the first that reaches the highest severity; its status is the most
     open one among that record and later ones.  A status counts if its last occurrence
-    is not before the record, so one aggregation decides everything.
+    is not before the record, so one aggregation decides everything.  A gap keeps the place
+    (``ord``) where it was first seen, whichever record wins.
     """
     keys = list(keys or ["workspace_id", "asset_id", F.lower("gap_type")])
     named = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
@@ -101,13 +102,15 @@ def merge_gaps(gaps: DataFrame, keys: Sequence[Column | str] | None = None) -> D
     row = F.struct(*[F.col(c) for c in gaps.columns])
     merged = gaps.groupBy(*named).agg(
         F.min_by(row, F.struct((-severity).alias("s"), F.col("ord").alias("o"))).alias("_row"),
+        F.min("ord").alias("_place"),
         *[F.max(F.when(F.col("status") == s, F.col("ord"))).alias(f"_last{i}") for i, s in enumerate(by_rank)],
     )
     status = F.coalesce(
         *[F.when(F.col(f"_last{i}") >= F.col("_row.ord"), F.lit(s)) for i, s in enumerate(by_rank)],
         F.col("_row.status"),
     )
-    columns = [status.alias(c) if c == "status" else F.col(f"_row.{c}") for c in gaps.columns]
+    own = {"status": status.alias("status"), "ord": F.col("_place").alias("ord")}
+    columns = [own.get(c, F.col(f"_row.{c}")) for c in gaps.columns]
     return merged.select(*columns)
 
 

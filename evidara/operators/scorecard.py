@@ -301,18 +301,61 @@ AVERAGES = {
 QA_RATES = {"citation_hit_rate": "citation_hit", "answer_snippet_hit_rate": "answer_hit"}
 
 
+SOURCE_METRICS = ["source_document_coverage", "source_format_coverage", "source_document_count", "source_format_count"]
+TIME_METRICS = ["total_runtime_ms", "parse_runtime_ms"]
+
+
 def category_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
 
 
-def percentile_95(c: Column | str) -> Column:
-    """Exact, with inclusive interpolation."""
-    return F.percentile(c, F.lit(0.95))
+ACCURACY = 10_000
+
 
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, share: float, out: str) -> DataFrame:
+    """keys, ``out``: the percentile with inclusive interpolation, exact for groups of any size.
+
+    An approximate bracket (its rank error is bounded) comes first; then values below it are
+    only counted, and only the distinct values inside are put in order.
+    """
+    margin = 2 / ACCURACY
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
+    ends = rows.groupBy(*keys).agg(
+        F.percentile_approx("_x", F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), F.lit(ACCURACY)).alias("_ends"),
+        F.count("*").alias("_n"),
+    )
+    # The bracket reaches over both neighbours of the wanted place even in small groups.
+    small = F.col("_n") <= ACCURACY
+    low = F.when(small, F.lit(float("-inf"))).otherwise(F.col("_ends")[0])
+    high = F.when(small, F.lit(float("inf"))).otherwise(F.col("_ends")[1])
+    ends = ends.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
+    if keys:
+        joined = rows.join(ends, list(keys))
+    else:
+        joined = rows.withColumns({c: ends.select(c).scalar() for c in ("_n", "_low", "_high")})
+    held = joined.where(F.col("_x") <= F.col("_high")).withColumn("_v", F.when(F.col("_x") >= F.col("_low"), F.col("_x")))
+    counts = held.groupBy(*keys, "_n", "_v").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    placed = counts.withColumn("_end", F.sum("_c").over(order))
+    place = (F.col("_n") - 1) * F.lit(share)
+    at = lambda rank: F.min(F.when(F.col("_end") > rank, F.col("_v")))
+    found = placed.groupBy(*keys, "_n").agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"))
+    part = place - F.floor(place)
+    return found.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias(out))
+
+
+def scorecard(
+    results: DataFrame, rounded: bool = True, sources: DataFrame | None = None, timings: DataFrame | None = None
+) -> DataFrame:
+    """All metrics in one row.  results: check_id, category, passed, metrics map<string,double>, elapsed_ms.
 
-def scorecard(results: DataFrame, rounded: bool = True) -> DataFrame:
-    """All metrics in one row.  results: check_id, category, passed, metrics map<string,double>, elapsed_ms."""
+    ``sources`` is the row of ``coverage``; ``timings`` one row of total_runtime_ms and
+    parse_runtime_ms.  Without them their six metrics are left out.
+    """
     digits = 4 if rounded else None
+    p95 = exact_percentile(results, [], "elapsed_ms", 0.95, "p95").select("p95").scalar()
+    p95 = F.coalesce(F.round(p95, 2) if rounded else p95, F.lit(0.0))
 
     def of(category: str) -> Column:
         return F.col("category") == category
@@ -334,8 +377,11 @@ def scorecard(results: DataFrame, rounded: bool = True) -> DataFrame:
         *pieces,
         F.count("*").alias("benchmark_check_count"),
         F.count_distinct("category").alias("benchmark_category_count"),
-        percentile_95("elapsed_ms").alias("p95_check_latency_ms"),
     )
+    more = {}
+    for frame, names in ((sources, SOURCE_METRICS), (timings, TIME_METRICS)):
+        if frame is not None:
+            more |= {name: frame.select(name).scalar() for name in names}
     averages = [
         (W.half_even(F.coalesce(name, F.lit(0.0)), 4) if rounded else F.coalesce(name, F.lit(0.0))).alias(name) for name in AVERAGES
     ]
@@ -343,23 +389,27 @@ def scorecard(results: DataFrame, rounded: bool = True) -> DataFrame:
         *[W.ratio(f"{name}_n", f"{name}_d", digits).alias(name) for name in counts],
         *averages,
         F.when(F.col("entity_recall_n") > 0, 1.0).otherwise(0.0).alias("entity_precision"),
-        "benchmark_check_count", "benchmark_category_count", "p95_check_latency_ms",
+        "benchmark_check_count", "benchmark_category_count", p95.alias("p95_check_latency_ms"),
+        *[value.alias(name) for name, value in more.items()],
     )
 
 
 def quality_gates(metrics: DataFrame, gates: DataFrame) -> DataFrame:
-    """gates: name (minimum_* or maximum_*), expected.  Only configured gates are judged."""
+    """gates: name (minimum_* or maximum_*), expected.  Only configured gates are judged.
+
+    A gate whose metric is not there has no actual value and fails.
+    """
     names = {"minimum_category_count": "benchmark_category_count", "minimum_check_count": "benchmark_check_count"}
     columns = [c for c in metrics.columns]
     long = metrics.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("actual")) for c in columns]))
     )
     metric = F.coalesce(W.lookup("name", names, None), F.regexp_replace("name", r"\A(minimum|maximum)_", ""))
-    joined = gates.withColumn("metric", metric).join(long, "metric")
+    joined = gates.withColumn("metric", metric).join(long, "metric", "left")
     passed = F.when(F.col("name").startswith("minimum_"), F.col("actual") >= F.col("expected")).otherwise(
         F.col("actual") <= F.col("expected")
     )
-    return joined.select("name", "expected", "actual", passed.alias("passed"))
+    return joined.select("name", "expected", "actual", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def coverage(files: DataFrame, declared: DataFrame) -> DataFrame:

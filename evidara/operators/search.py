@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -133,92 +133,88 @@ def lexical_top_k(
 
 
 # -- vectors -------------------------------------------------------------------
-BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
-
-
 def cosine_top_k(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = V.TOP_CHUNKS,
     id_column: str = "id",
     query_column: str = "query_id",
-    query_block: int = 2048,
+    scope: Sequence[str] = (),
+    slice_rows: int = 8192,
+    query_block: int = 1024,
 ) -> DataFrame:
-    """(query, id, score, rank): exact nearest vectors by cosine, score = max(0, cosine).
+    """(scope, query, id, score, rank): exact nearest vectors by cosine, score = max(0, cosine).
 
-    Every task scores its vectors against a block of queries as one matrix product and
-    keeps its own k best per query; only those candidates are shuffled and ranked again.
-    A query set up to ``BROADCAST_QUERY_BYTES`` (checked) is shipped with the task; a
-    larger one is cut into blocks that are co-grouped with slices of the vectors.
+    ``scope`` names columns that both sides share (workspace, document type); a query sees only
+    vectors of its own scope.  Vectors and queries meet in blocks of counted size, one matrix
+    product each; a block gives at most k rows per query, which are ranked again.  The order
+    is that of the cosine itself, so vectors that all point away are still told apart.
     Rows without a usable vector (null, zero or wrong length) are left out.
     """
+    scope = list(scope)
+    vectors = vectors.where(F.col("embedding").isNotNull()).select(*scope, id_column, "embedding")
+    queries = queries.where(F.col("embedding").isNotNull()).select(*scope, query_column, "embedding")
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    columns = [*scope, query_column, id_column, "score"]
     schema = T.StructType(
-        [queries.schema[query_column], vectors.schema[id_column], T.StructField("score", T.DoubleType())]
+        [*[vectors.schema[c] for c in scope], queries.schema[query_column], vectors.schema[id_column], T.StructField("score", T.DoubleType())]
     )
-    columns = [query_column, id_column, "score"]
-    vectors = vectors.where(F.col("embedding").isNotNull()).select(id_column, "embedding")
-    queries = queries.where(F.col("embedding").isNotNull()).select(query_column, "embedding")
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    count, dim = size["n"], size["dim"] or 0
-
-    if count * dim * 8 <= BROADCAST_QUERY_BYTES:
-        frame = queries.toPandas()
-        matrix = _unit_rows(frame["embedding"], dim)
-        names = frame[query_column].to_numpy()
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield _best(batch[id_column].to_numpy(), _unit_rows(batch["embedding"], dim), names, matrix, k, columns)
-
-        candidates = vectors.mapInPandas(score, schema)
+    blocks = lambda rows: F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int")
+    if scope:
+        sizes = vectors.groupBy(*scope).agg(blocks(slice_rows).alias("_slices")).join(
+            queries.groupBy(*scope).agg(blocks(query_block).alias("_blocks")), scope
+        )
+        left, right = vectors.join(sizes, scope), queries.join(sizes, scope)
     else:
-        blocks = -(-count // query_block)
-        slices = vectors.sparkSession.sparkContext.defaultParallelism
-        cut = F.pmod(F.xxhash64(id_column), F.lit(slices))
-        left = vectors.withColumn("_slice", cut).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        block = F.pmod(F.xxhash64(query_column), F.lit(blocks)).cast("int")
-        right = queries.withColumn("_block", block).withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
+        sizes = {"_slices": vectors.agg(blocks(slice_rows)).first()[0], "_blocks": queries.agg(blocks(query_block)).first()[0]}
+        left, right = (df.withColumns({name: F.lit(n) for name, n in sizes.items()}) for df in (vectors, queries))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.withColumn("_slice", own(id_column, "_slices")).withColumn("_block", every("_blocks")).drop("_slices", "_blocks")
+    right = right.withColumn("_block", own(query_column, "_blocks")).withColumn("_slice", every("_slices")).drop("_slices", "_blocks")
+
+    def match(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or wanted.empty:
+            return pd.DataFrame(columns=columns)
+        names, ids, scores = _best(
+            part[id_column].to_numpy(), _unit_rows(part["embedding"], dim), wanted[query_column].to_numpy(), _unit_rows(wanted["embedding"], dim), k
         )
+        found = pd.DataFrame({query_column: names, id_column: ids, "score": scores})
+        for c in scope:
+            found[c] = part[c].iloc[0]
+        return found[columns]
 
-        def match(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-            if part.empty or wanted.empty:
-                return pd.DataFrame(columns=columns)
-            return _best(
-                part[id_column].to_numpy(), _unit_rows(part["embedding"], dim),
-                wanted[query_column].to_numpy(), _unit_rows(wanted["embedding"], dim), k, columns,
-            )
-
-        candidates = left.groupBy("_slice", "_block").cogroup(right.groupBy("_slice", "_block")).applyInPandas(match, schema)
-    return top_rows(candidates, [query_column], [F.desc("score"), F.col(id_column)], k)
+    keys = [*scope, "_slice", "_block"]
+    candidates = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
+    ranked = top_rows(candidates, [*scope, query_column], [F.desc("score"), F.col(id_column)], k)
+    return ranked.withColumn("score", F.greatest(F.lit(0.0), F.col("score")))
 
 
 def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
     """Rows scaled to length one; unusable rows become NaN."""
     rows = np.full((len(vectors), dim), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            rows[i] = v
+    fit = np.flatnonzero(vectors.map(len).to_numpy() == dim)
+    if len(fit):
+        rows[fit] = np.stack(vectors.iloc[fit].to_list())
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.full_like(rows, np.nan), where=norms > 0)
 
 
-def _best(ids: np.ndarray, rows: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, columns: list[str]) -> pd.DataFrame:
-    scores = np.maximum(queries @ rows.T, 0.0)
-    parts = []
-    for q, line in enumerate(scores):
-        usable = np.flatnonzero(~np.isnan(line))
-        values = line[usable]
-        if len(usable) > k:
-            # Keep every value that ties with the k-th so the final tie-break sees it.
-            floor = np.partition(values, len(values) - k)[len(values) - k]
-            keep = values >= floor
-            usable, values = usable[keep], values[keep]
-            if len(usable) > k:
-                order = np.lexsort((ids[usable], -values))[:k]
-                usable, values = usable[order], values[order]
-        parts.append(pd.DataFrame(dict(zip(columns, ([names[q]] * len(usable), ids[usable], values)))))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+def _best(ids: np.ndarray, rows: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query names, ids and cosines of the k best rows of each query; ties go to the smaller id."""
+    usable, asked = ~np.isnan(rows).any(axis=1), ~np.isnan(queries).any(axis=1)
+    ids, rows, names, queries = ids[usable], rows[usable], names[asked], queries[asked]
+    scores = queries @ rows.T
+    if scores.shape[1] > k:
+        # Every value that ties with the k-th stays until ids are compared.
+        floor = np.partition(scores, -k, axis=1)[:, -k, None]
+        at, row = np.nonzero(scores >= floor)
+    else:
+        at, row = np.nonzero(np.ones_like(scores, dtype=bool))
+    order = np.lexsort((ids[row], -scores[at, row], at))
+    at, row = at[order], row[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return names[at[keep]], ids[row[keep]], scores[at[keep], row[keep]]
 
 
 def missing_embeddings(chunks: DataFrame) -> DataFrame:

@@ -77,23 +77,49 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def clear_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Counts before and after emptying all tables."""
-    emptied = {n: df.limit(0) for n, df in tables.items()}
-    before = table_counts(tables).withColumnRenamed("row_count", "before")
-    after = table_counts(emptied).withColumnRenamed("row_count", "after")
-    return before.join(after, "table_name")
+def stored_counts(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """Row count per stored table."""
+    return table_counts({n: spark.read.parquet(f"{root}/{n}") for n in names})
+
+
+def truncate(spark: SparkSession, root: str, names: Sequence[str]) -> None:
+    """Empty stored tables; their schemas stay."""
+    for name in names:
+        schema = spark.read.parquet(f"{root}/{name}").schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 # -- run-partitioned derived tables ---------------------------------------------
 def write_derived(tables: Mapping[str, DataFrame], root: str, run_id: int) -> None:
     for name, df in tables.items():
         rows = df.withColumn("run_id", F.lit(run_id).cast("bigint"))
-        rows.write.mode("append").partitionBy("workspace_id", "run_id").parquet(f"{root}/{name}")
+        _replace_partitions(rows, f"{root}/{name}", ["workspace_id", "run_id"])
 
 
 def publish_runs(runs: DataFrame, root: str) -> None:
-    runs.write.mode("append").parquet(f"{root}/analysis_runs")
+    _replace_partitions(runs, f"{root}/analysis_runs", ["workspace_id", "id"])
+
+
+def _replace_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write partitions as a whole, so a retried run replaces its own rows and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+RUN_COUNTS = ["documents_ingested", "entities_extracted", "assets", "timeline_events", "compliance_gaps", "contradictions"]
+
+
+def open_runs(workspaces: DataFrame, root: str, run_id: int, source: str, started_at: str, status: str = "running") -> None:
+    """Write the run row of each workspace before the work; ``publish_runs`` replaces it after."""
+    row = {
+        "id": F.lit(run_id).cast("bigint"), "source": F.lit(source), "status": F.lit(status), "message": F.lit(""),
+        "started_at": F.lit(started_at), "completed_at": F.lit(""), **{c: F.lit(0).cast("bigint") for c in RUN_COUNTS},
+    }
+    publish_runs(workspaces.select("workspace_id").distinct().withColumns(row), root)
+
+
+def clear_derived(workspaces: DataFrame, root: str, run_id: int, at: str) -> None:
+    """Clear all derived rows of workspaces: a complete run without rows becomes their latest."""
+    open_runs(workspaces, root, run_id, "clear", at, "complete")
 
 
 def current_runs(spark: SparkSession, root: str) -> DataFrame:

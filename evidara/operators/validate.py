@@ -19,6 +19,13 @@ NO_SOURCE = "source_reference_not_found"
 
 
 # -- resolving the cited page ---------------------------------------------------
+def _number_text(path: str) -> Column:
+    """Text of a number in a payload item; JSON true and false are 1 and 0, their spellings as text are none."""
+    text = F.try_variant_get("item", path, "string")
+    truth = F.schema_of_variant(F.try_variant_get("item", path, "variant")) == "BOOLEAN"
+    return F.when(truth, F.when(text == "true", "1").otherwise("0")).otherwise(text)
+
+
 def resolve_references(references: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Map distinct (workspace_id, ref_filename, ref_page) to (filename, page, document_id).
 
@@ -94,7 +101,7 @@ def entity_candidates(items: DataFrame) -> DataFrame:
         *REFERENCE,
         W.entity_type(raw_type, value).alias("entity_type"),
         value.alias("value"),
-        W.confidence(F.try_variant_get("item", "$.confidence", "string")).alias("confidence"),
+        W.confidence(_number_text("$.confidence")).alias("confidence"),
         P.clean_field("context", "evidence").alias("context"),
     )
 

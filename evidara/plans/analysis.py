@@ -17,33 +17,29 @@ from evidara.sources import payloads as P
 def ingest_files(files: DataFrame, stored: DataFrame | None = None, chunk_keys=("workspace_id", "document_id")) -> dict[str, DataFrame]:
     """Uploaded files -> statuses, document rows and chunk rows.
 
-    ``files``: workspace_id, ord, path, length, content and optionally content_type.
+    ``files``: workspace_id, ord, path, length, content and optionally content_type; an upload is
+    (workspace_id, ord), so workspaces may share paths.  Every file is read, gated, hashed and
+    parsed in one pass that is written once; statuses, documents and chunks come from it.  The
+    holder of a content hash is the first file that parsed.
     """
     kind = "content_type" if "content_type" in files.columns else None
-    named = S.named_files(files)
-    gate = named.withColumn("reject_reason", S.reject_reason(content_type=kind)).withColumn(
-        "content_hash", ingest.content_hash("content")
+    # Contents above the limit are refused by their size and never read.
+    within = files.where(F.col("length") <= S.MAX_UPLOAD_BYTES)
+    beyond = files.where(F.col("length") > S.MAX_UPLOAD_BYTES).withColumn("content", F.lit(None).cast("binary"))
+    gate = S.named_files(within.unionByName(beyond)).withColumn(
+        "reject_reason", S.reject_reason(content_type=kind, size="length")
     )
-    statuses = ingest.classify_uploads(
-        gate.select("workspace_id", "ord", "path", "filename", "extension", "content_hash", "length", "reject_reason"), stored
-    )
-    fresh = statuses.where(F.col("status") == "uploaded").select("workspace_id", "ord", "path")
-    parsed = S.parse_files(named.join(fresh.select("path"), "path", "left_semi"))
-    # Parsing can still fail; the status follows the parser.
-    faults = parsed.where(F.col("error").isNotNull()).select("path", F.col("error").alias("_error"))
-    statuses = (
-        statuses.join(faults, "path", "left")
-        .withColumn("status", F.when(F.col("_error").isNotNull(), "failed").otherwise(F.col("status")))
-        .withColumn("message", F.coalesce("_error", "message"))
-        .drop("_error")
-    )
-    owner = fresh.select("path", "workspace_id", F.col("ord").alias("document_id"))
-    pages = S.parsed_pages(parsed).join(owner, "path")
-    chunks = ingest.chunk_pages(pages.drop("path"), chunk_keys)
-    details = statuses.select(
-        "path", "workspace_id", "ord", "filename", "content_hash", F.col("length").alias("size_bytes"), F.lit("").alias("upload_time")
-    )
-    documents = ingest.document_rows(parsed.join(details, "path"))
+    gate = gate.withColumn("content_hash", ingest.content_hash("content"))
+    held = gate.withColumn("content", F.when(F.col("reject_reason").isNull(), F.col("content")))
+    upload = ["workspace_id", "ord", "path", "filename", "extension", "content_hash", "length", "reject_reason"]
+    parsed = settle(S.parse_files(held, upload))
+    fault = F.coalesce("reject_reason", "error")
+    statuses = ingest.classify_uploads(parsed.select(*upload[:-1], fault.alias("reject_reason")), stored)
+    fresh = statuses.where(F.col("status") == "uploaded").select("workspace_id", "ord")
+    kept = parsed.join(fresh, ["workspace_id", "ord"], "left_semi")
+    pages = S.parsed_pages(kept, ["workspace_id", "ord"]).withColumnRenamed("ord", "document_id")
+    chunks = ingest.chunk_pages(pages, chunk_keys)
+    documents = ingest.document_rows(kept.withColumns({"size_bytes": F.col("length"), "upload_time": F.lit("")}))
     return {"statuses": statuses, "documents": documents, "chunks": chunks}
 
 

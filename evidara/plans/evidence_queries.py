@@ -19,20 +19,16 @@ from evidara.sources import payloads as P
 # -- the evidence predicate -------------------------------------------------------
 @query("evidence_supported", "C4", f"""
 WITH p AS (SELECT doc_id, {Q.page_columns('text')} FROM documents),
- c AS (SELECT doc_id, array_to_string(string_split(b.text, ' ')[1 + doc_id % 3:8 + doc_id % 5], ' ') AS claim FROM documents JOIN benchmark b ON b.item_id = doc_id % 40)
+ c AS (SELECT doc_id, b.text AS claim FROM documents JOIN benchmark b ON b.item_id = doc_id % 40)
 SELECT c.doc_id, {Q.supported('c.claim')} AS supported FROM c JOIN p USING (doc_id)""")
 def _(t):
     return claims(t).select("doc_id", supported("claim").alias("supported"))
 
 
 def claims(t) -> DataFrame:
-    """Every document with a claim cut from a benchmark item."""
-    words = F.split("b", " ")
-    b = t.benchmark.select(F.col("item_id").alias("k"), F.col("text").alias("b"))
-    start = (F.col("doc_id") % 3 + 1).cast("int")
-    stop = (F.col("doc_id") % 5 + 8).cast("int")
-    joined = t.documents.withColumn("k", F.col("doc_id") % 40).join(b, "k")
-    return page_features(joined).withColumn("claim", F.array_join(F.slice(words, start, stop - start + 1), " "))
+    """Every document with the text of a benchmark item as a claim."""
+    b = t.benchmark.select(F.col("item_id").alias("k"), F.col("text").alias("claim"))
+    return page_features(t.documents.withColumn("k", F.col("doc_id") % 40).join(b, "k"))
 
 
 @query("claim_token_overlap", "C4", f"""
@@ -264,9 +260,9 @@ def _(t):
     return validate.rejects(rows)
 
 
-@query("exact_page_lookup", "D5", "SELECT doc_id, source || '-' || doc_id || '.txt' AS filename, doc_id AS document_id FROM documents WHERE doc_id % 2 = 0")
+@query("exact_page_lookup", "D5", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 1 THEN source || '-' || doc_id || '.txt' END AS filename, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 1 THEN doc_id END AS document_id FROM documents")
 def _(t):
-    return _lookup(t).where(F.col("doc_id") % 2 == 0).select("doc_id", "filename", "document_id")
+    return _lookup(t).select("doc_id", "filename", "document_id")
 
 
 @query("fuzzy_page_lookup", "D6", """
@@ -332,11 +328,11 @@ def asset_records(t) -> DataFrame:
 
 @query("merged_gaps", "E8", f"""{S.WITH}, r AS (SELECT *, CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS sr,
   CASE status WHEN 'Open' THEN 3 WHEN 'In Progress' THEN 2 WHEN 'Monitoring' THEN 1 ELSE 0 END AS st FROM gaps_t),
- m AS (SELECT workspace_id, asset_id, lower(gap_type) AS k, arg_min(id, (-sr, id)) AS id FROM r GROUP BY ALL)
-SELECT m.id, any_value(first.severity) AS severity, (['Closed', 'Monitoring', 'In Progress', 'Open'])[max(r.st) + 1] AS status
+ m AS (SELECT workspace_id, asset_id, lower(gap_type) AS k, arg_min(id, (-sr, id)) AS id, min(id) AS place FROM r GROUP BY ALL)
+SELECT m.id, any_value(m.place) AS place, any_value(first.severity) AS severity, (['Closed', 'Monitoring', 'In Progress', 'Open'])[max(r.st) + 1] AS status
 FROM m JOIN r first ON first.id = m.id JOIN r ON r.workspace_id = m.workspace_id AND r.asset_id = m.asset_id AND lower(r.gap_type) = m.k AND r.id >= m.id GROUP BY m.id""")
 def _(t):
-    return merge.merge_gaps(S.gaps(t).withColumn("ord", F.col("id"))).select("id", "severity", "status")
+    return merge.merge_gaps(S.gaps(t).withColumn("ord", F.col("id"))).select("id", F.col("ord").alias("place"), "severity", "status")
 
 
 @query("merged_gaps_wide_groups", "E8", f"""{S.WITH}, r AS (SELECT *, CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS sr,

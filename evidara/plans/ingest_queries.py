@@ -36,6 +36,12 @@ def document_files(t) -> DataFrame:
     return as_files(t.documents.select("doc_id", "lang", "source", "text"), path, F.encode("text", "UTF-8"))
 
 
+def with_tables(files: DataFrame) -> DataFrame:
+    """The same files, where those named .csv hold a small table instead of prose."""
+    table = F.concat(F.lit("id,lang\n"), F.col("doc_id").cast("string"), F.lit(","), "lang", F.lit("\n"))
+    return files.withColumn("content", F.when(F.col("doc_id") % 6 == 1, F.encode(table, "UTF-8")).otherwise(F.col("content")))
+
+
 REASONS_SQL = """CASE doc_id % 6 WHEN 2 THEN 'PDF signature validation failed.' WHEN 3 THEN '.docx file is not a valid ZIP container.'
   WHEN 4 THEN 'Unsupported file type: .md' WHEN 5 THEN '.xlsx file is not a valid ZIP container.' END"""
 
@@ -185,19 +191,19 @@ def _(t):
 
 
 @query("parser_dispatch", "A7 A1 L12", """
-SELECT CASE doc_id % 6 WHEN 0 THEN 'plain-text' ELSE 'error' END AS parser, count(*) AS files, sum(CASE doc_id % 6 WHEN 0 THEN length(text) ELSE 0 END)::BIGINT AS characters
-FROM documents WHERE doc_id % 6 <> 1 GROUP BY 1""")
+SELECT CASE doc_id % 6 WHEN 0 THEN 'plain-text' WHEN 1 THEN 'pandas-csv' ELSE 'error' END AS parser, count(*) AS files,
+ sum(CASE doc_id % 6 WHEN 0 THEN length(text) WHEN 1 THEN length('id,lang' || chr(10) || doc_id || ',' || lang || chr(10)) ELSE 0 END)::BIGINT AS characters FROM documents GROUP BY 1""")
 def _(t):
-    files = document_files(t).where(F.col("doc_id") % 6 != 1).drop("text")
+    files = with_tables(document_files(t)).drop("text")
     parsed = FS.parse_files(files).withColumn("parser", F.coalesce("parser", F.lit("error")))
     return parsed.groupBy("parser").agg(F.count("*").alias("files"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("characters"))
 
 
 @query("typed_readings", "A2", """
-SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value, ts FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 7 = 3 THEN 0.0 ELSE value END AS value, ts FROM events""")
 def _(t):
     raw = t.events.select(
-        "event_id", F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string"))).alias("value"),
+        "event_id", F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 3, "f").otherwise(" "))).alias("value"),
         F.col("ts").cast("string").alias("ts"),
     )
     return readings.typed(raw, ["value"], ["ts"])
@@ -232,7 +238,8 @@ FROM d LEFT JOIN (SELECT document_id, count(*) AS n FROM c GROUP BY document_id)
 def _(t):
     from evidara.plans.analysis import ingest_files
 
-    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    # Paths repeat inside and across workspaces; an upload is known by workspace and order.
+    path = F.concat(F.lit("/in/"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt"))
     files = as_files(t.documents.select(F.col("lang").alias("workspace_id"), F.col("doc_id").alias("ord"), "doc_id", "text"), path, F.encode("text", "UTF-8")).drop("text")
     out = ingest_files(files)
     counts = out["chunks"].groupBy("workspace_id", F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"))
@@ -347,8 +354,8 @@ def centroids(t) -> DataFrame:
 def cosine_sql(k: int) -> str:
     return f"""
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
- SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.query_id, e.vec_id, greatest(0.0, list_cosine_similarity(q.embedding, e.embedding::DOUBLE[])) AS score FROM ({CENTROIDS_SQL}) q, embeddings e)) WHERE rank <= {k}"""
+ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
+  SELECT q.query_id, e.vec_id, list_cosine_similarity(q.embedding, e.embedding::DOUBLE[]) AS cosine, greatest(0.0, cosine) AS score FROM ({CENTROIDS_SQL}) q, embeddings e)) WHERE rank <= {k}"""
 
 
 @query("vector_search", "G1 D20", cosine_sql(6))
@@ -357,6 +364,25 @@ def _(t):
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_search_scoped", "G1 C1 C2", f"""
+SELECT workspace_id, query_id, vec_id, round(greatest(0.0, cosine), 6) AS score, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY workspace_id, query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
+  SELECT e.vec_id % 4 AS workspace_id, q.query_id, e.vec_id, (CASE WHEN q.query_id % 2 = 1 THEN -1 ELSE 1 END) * list_cosine_similarity(q.embedding, e.embedding::DOUBLE[]) AS cosine
+  FROM ({CENTROIDS_SQL}) q, embeddings e WHERE q.query_id % 2 = 0 OR e.label = q.query_id)) WHERE rank <= 6""")
+def _(t):
+    # Four workspaces and, for odd labels, the label as a type; those queries point away from all they see.
+    space = t.embeddings.select((F.col("vec_id") % 4).alias("workspace_id"), "vec_id", "label", "embedding")
+    spaces = space.select("workspace_id").distinct()
+    odd = F.col("query_id") % 2 == 1
+    turned = F.when(odd, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    asked = centroids(t).withColumn("workspace_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
+    asked = asked.withColumn("embedding", turned).join(spaces, "workspace_id")
+    any_type = search.cosine_top_k(space, asked.where(~odd), 6, "vec_id", scope=["workspace_id"])
+    typed = search.cosine_top_k(space, asked.where(odd).withColumn("label", F.col("query_id")), 6, "vec_id", scope=["workspace_id", "label"])
+    columns = ["workspace_id", "query_id", "vec_id", F.round("score", 6).alias("score"), "rank"]
+    return any_type.select(*columns).unionByName(typed.select(*columns))
+
+
 @query("vector_search_typed", "G1 C2", """
 SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, greatest(0.0, list_cosine_similarity(q.v, e.embedding::DOUBLE[])) AS score FROM embeddings e,
  (SELECT list(v ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) r(i) GROUP BY i)) q WHERE label = 3) ORDER BY score DESC, vec_id LIMIT 6""")
@@ -428,8 +454,8 @@ def _(t):
     return limit_gaps(S.gaps(t)).select("asset_id", "id", "rank")
 
 
-@query("latency_p95", "E21", "SELECT event_type, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
+@query("latency_p95", "E21", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def _(t):
-    from evidara.operators.scorecard import percentile_95
+    from evidara.operators.scorecard import exact_percentile
 
-    return t.events.groupBy("event_type").agg(percentile_95("value").alias("p95"))
+    return exact_percentile(t.events, ["event_type"], "value", 0.95, "p95").withColumn("p95", F.round("p95", 6))

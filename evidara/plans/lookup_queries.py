@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidara.functions import vocab as V
 from evidara.functions.ordering import first_by
+from evidara.functions.ordering import position
 from evidara.operators import ingest, lookups as L, reports as R, store
 from evidara.plans import standins as S
 from evidara.plans import twin as Q
 from evidara.plans.registry import query
+from evidara.session import settle, shared_folder
 
 NATION_ASSETS = "SELECT n_name AS workspace_id, c_custkey AS id, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey"
 
@@ -188,7 +192,13 @@ def _(t):
 
 @query("table_counts", "E27", "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS before, 0 AS after UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 0 UNION ALL SELECT 'events', (SELECT count(*) FROM events), 0")
 def _(t):
-    return store.clear_tables({"orders": t.orders, "lineitem": t.lineitem, "events": t.events})
+    # Stored copies are counted, truncated and counted again.
+    root, names = f"{shared_folder(t.spark).rstrip('/')}/tables-{uuid.uuid4().hex}", ["orders", "lineitem", "events"]
+    for name in names:
+        getattr(t, name).write.parquet(f"{root}/{name}")
+    before = settle(store.stored_counts(t.spark, root, names).withColumnRenamed("row_count", "before"))
+    store.truncate(t.spark, root, names)
+    return before.join(store.stored_counts(t.spark, root, names).withColumnRenamed("row_count", "after"), "table_name")
 
 
 # -- orders and limits ----------------------------------------------------------
@@ -198,14 +208,16 @@ def _(t):
 
 
 @query("severity_order_head", "G3 G6", f"""{S.WITH} SELECT id, asset_id, severity FROM contradictions_t
-ORDER BY CASE severity WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END, asset_id, id DESC LIMIT 50""")
+ORDER BY CASE severity WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END, asset_id, id DESC""")
 def _(t):
-    return L.by_severity(S.contradictions(t), "severity", F.col("asset_id"), F.desc("id")).select("id", "asset_id", "severity").limit(50)
+    return L.by_severity(S.contradictions(t), "severity", F.col("asset_id"), F.desc("id")).select("id", "asset_id", "severity")
 
 
 @query("plain_orders", "G4", f"""{S.WITH}
-(SELECT 'timeline' AS list, id FROM events_t ORDER BY event_date DESC, id DESC LIMIT 20) UNION ALL (SELECT 'pack', id FROM gaps_t ORDER BY severity, asset_id, id LIMIT 20)
-UNION ALL (SELECT 'entities', id FROM entities_t ORDER BY entity_type, value, id LIMIT 20) UNION ALL (SELECT 'documents', id FROM documents_t ORDER BY id DESC LIMIT 20)""")
+SELECT 'timeline' AS list, id, row_number() OVER (ORDER BY event_date DESC, id DESC) AS position FROM events_t
+UNION ALL SELECT 'pack', id, row_number() OVER (ORDER BY severity, asset_id, id) FROM gaps_t
+UNION ALL SELECT 'entities', id, row_number() OVER (ORDER BY entity_type, value, id) FROM entities_t
+UNION ALL SELECT 'documents', id, row_number() OVER (ORDER BY id DESC) FROM documents_t""")
 def _(t):
     lists = {
         "timeline": (S.events(t), [F.desc("event_date"), F.desc("id")]),
@@ -213,7 +225,7 @@ def _(t):
         "entities": (S.entities(t), [F.col("entity_type"), F.col("value"), F.col("id")]),
         "documents": (S.documents(t), [F.desc("id")]),
     }
-    parts = [L.preview(df, order, 20).select(F.lit(name).alias("list"), "id") for name, (df, order) in lists.items()]
+    parts = [position(df, [], order).select(F.lit(name).alias("list"), "id", "position") for name, (df, order) in lists.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 

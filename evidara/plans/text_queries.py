@@ -87,15 +87,23 @@ def _(t):
 
 
 @query("iso_date_or_null", "B9", """
-SELECT o_orderkey, CASE o_orderkey % 6
+SELECT o_orderkey, CASE WHEN o_orderkey % 24 = 4 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 24 = 10 THEN strftime(o_orderdate, '%Y-%m-%d')
+  WHEN o_orderkey % 24 = 16 THEN strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') WHEN o_orderkey % 24 = 22 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE CASE o_orderkey % 6
   WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
-  WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE NULL END AS day
+  WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE NULL END END AS day
 FROM orders""")
 def _(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    kind = F.col("o_orderkey") % 6
+    kind, more = F.col("o_orderkey") % 6, F.col("o_orderkey") % 24
+    # Basic form, a zone that would shift the day, the bare week, and week and day.
+    thursday = F.date_add(F.date_trunc("week", F.col("o_orderdate")).cast("date"), 3)
+    week = F.concat(F.year(thursday).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"))
     raw = (
-        F.when(kind == 0, day)
+        F.when(more == 4, F.date_format("o_orderdate", "yyyyMMdd"))
+        .when(more == 10, F.concat(day, F.lit("T02:00:00+05:30")))
+        .when(more == 16, week)
+        .when(more == 22, F.concat(week, F.lit("-"), (F.weekday("o_orderdate") + 1).cast("string")))
+        .when(kind == 0, day)
         .when(kind == 1, F.concat(F.lit("  "), day, F.lit("T08:30:00 ")))
         .when(kind == 2, F.concat(day, F.lit(" 08:30:00")))
         .when(kind == 3, F.date_format("o_orderdate", "yyyy-MM"))
@@ -120,9 +128,15 @@ def _(t):
 
 
 @query("confidence_clamp", "B12", """
-SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE least(1.0, greatest(0.0, value / 50.0 - 0.2)) END AS confidence FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 7 IN (3, 5) THEN 0.0 ELSE least(1.0, greatest(0.0, value / 50.0 - 0.2)) END AS confidence FROM events""")
 def _(t):
-    raw = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise((F.col("value") / 50.0 - 0.2).cast("string"))
+    number = (F.col("value") / 50.0 - 0.2).cast("string")
+    raw = (
+        F.when(F.col("event_type") == "error", F.lit("n/a"))
+        .when(F.col("event_id") % 7 == 3, F.concat(number, F.lit("d")))
+        .when(F.col("event_id") % 7 == 5, F.lit("0x1p3"))
+        .otherwise(number)
+    )
     return t.events.select("event_id", W.confidence(raw).alias("confidence"))
 
 
@@ -252,14 +266,18 @@ def _(t):
 
 
 @query("redaction", "B35", """
-SELECT event_id, '[redacted]' AS token, '[redacted]' AS user_key, event_type AS note, props AS payload FROM events""")
+SELECT event_id, '[redacted]' AS token, '[redacted]' AS user_key, event_type AS note, props AS payload, '[redacted]' AS inner_token, event_type AS inner_note FROM events""")
 def _(t):
     entries = F.create_map(
         F.lit("Token"), F.col("props"), F.lit("my_API_key"), F.col("props"), F.lit("note"), F.col("event_type"), F.lit("tokens"), F.col("props")
     )
     m = F.col("m")
-    return t.events.select("event_id", W.redact(entries).alias("m")).select(
-        "event_id", m["Token"].alias("token"), m["my_API_key"].alias("user_key"), m["note"].alias("note"), m["tokens"].alias("payload")
+    inner = F.create_map(F.lit("token"), F.col("props"), F.lit("note"), F.col("event_type"))
+    rows = t.events.select("event_id", W.redact(entries).alias("m"), F.struct(F.array(inner).alias("parts")).alias("r"))
+    nested = W.redact_record("r", rows.schema["r"].dataType)["parts"][0]
+    return rows.select(
+        "event_id", m["Token"].alias("token"), m["my_API_key"].alias("user_key"), m["note"].alias("note"), m["tokens"].alias("payload"),
+        nested["token"].alias("inner_token"), nested["note"].alias("inner_note"),
     )
 
 

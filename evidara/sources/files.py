@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +62,12 @@ def reject_reason(
     content_type: Column | str | None = None,
     max_bytes: int = MAX_UPLOAD_BYTES,
     expected_size: Column | str | None = None,
+    size: Column | str | None = None,
 ) -> Column:
-    """Why an uploaded file is refused; null for an acceptable one."""
+    """Why an uploaded file is refused; null for an acceptable one.
+
+    ``size`` is the size the scan reports, so contents above the limit need not be read.
+    """
     ext, data = col(extension), col(content)
     kind = F.lit("") if content_type is None else F.lower(F.trim(F.substring_index(col(content_type), ";", 1)))
     shown = F.when(ext == "", "none").otherwise(ext)
@@ -74,7 +78,7 @@ def reject_reason(
     # Only container formats travel to the Python worker; other rows pass a null.
     fault = _zip_fault(F.when(zip_prefix.isNotNull(), data), zip_prefix)
     readable = F.is_valid_utf8(sample.cast("string")) | ~_holds_any(sample, (0x81, 0x8D, 0x8F, 0x90, 0x9D))
-    size = F.length(data)
+    size = F.length(data) if size is None else col(size)
     mismatch = F.lit(False) if expected_size is None else F.coalesce(col(expected_size) != size, F.lit(False))
     return (
         F.when(F.coalesce(col(filename), F.lit("")) == "", "Filename is required.")
@@ -121,31 +125,43 @@ def _page_text(extension: str, content: bytes) -> tuple[str, str, int]:
     raise ValueError(f"Unsupported file type: {extension or 'none'}")
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [f.name for f in schemas.PARSED.fields]
-    for batch in batches:
-        rows = []
-        for path, extension, content in zip(batch["path"], batch["extension"], batch["content"]):
-            try:
-                text, parser, tables = _page_text(extension, content)
-                page = [{"page": 1, "text": text}]
-                rows.append((path, page, text, 1, parser, False, "", None, tables, 0, [], None))
-            except Exception as fault:  # noqa: BLE001 - a bad file is a row, not a failed batch
-                message = str(fault) or "Document could not be processed."
-                rows.append((path, [], None, 0, None, False, "", None, 0, 0, [], message))
-        yield pd.DataFrame(rows, columns=columns)
+PARSED_FIELDS = schemas.PARSED.fields[1:]
+
+
+def _parse_row(extension: str, content: bytes | None) -> tuple:
+    if content is None:  # refused at the gate
+        return ([], None, 0, None, False, "", None, 0, 0, [], None)
+    try:
+        text, parser, tables = _page_text(extension, content)
+        return ([{"page": 1, "text": text}], text, 1, parser, False, "", None, tables, 0, [], None)
+    except Exception as fault:  # noqa: BLE001 - a bad file is a row, not a failed batch
+        return ([], None, 0, None, False, "", None, 0, 0, [], str(fault) or "Document could not be processed.")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """One uniform row per file: pages, text, counts, parser metadata, error."""
+def parse_files(files: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """One uniform row per file: its ``keys``, pages, text, counts, parser metadata, error.
+
+    A path may come up in several workspaces, so callers that mix them pass keys that tell
+    uploads apart.  Null contents are carried through without a text and without an error.
+    """
     if "extension" not in files.columns:
         files = named_files(files)
-    return files.select("path", "extension", "content").mapInPandas(_parse_batches, schemas.PARSED)
+    keys = list(keys)
+    names = [f.name for f in PARSED_FIELDS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_parse_row(e, c) for e, c in zip(batch["_extension"], batch["_content"], strict=True)]
+            yield pd.concat([batch[keys], pd.DataFrame(rows, columns=names, index=batch.index, dtype="object")], axis=1)
+
+    schema = T.StructType([*[files.schema[k] for k in keys], *PARSED_FIELDS])
+    given = files.select(*keys, F.col("extension").alias("_extension"), F.col("content").alias("_content"))
+    return given.mapInPandas(run, schema)
 
 
-def parsed_pages(parsed: DataFrame) -> DataFrame:
+def parsed_pages(parsed: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """One row per page of the files that parsed."""
-    return parsed.where(F.col("error").isNull()).select("path", F.inline("pages"))
+    return parsed.where(F.col("error").isNull()).select(*keys, F.inline("pages"))
 
 
 def select_new(files: DataFrame, order: Column | str = "path") -> DataFrame:

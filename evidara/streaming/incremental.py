@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,10 @@ def _catalogue(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Catalogue rows of earlier micro-batches; a retried batch does not see its own rows."""
     try:
         rows = spark.read.schema(CATALOGUE).parquet(path)
-    except Exception:  # noqa: BLE001 - the catalogue does not exist before the first batch
+    except AnalysisException as fault:
+        # The catalogue does not exist before the first batch; any other failure is one.
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = spark.createDataFrame([], CATALOGUE)
     return rows.where(F.col("batch_id") < before)
 
