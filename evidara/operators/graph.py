@@ -217,23 +217,34 @@ def link_sources(links: DataFrame, assets: DataFrame, documents: DataFrame) -> D
     return joined.withColumn("source_document", F.coalesce("filename", "_own", F.lit(""))).drop("_own", "filename")
 
 
+# Window of a run of id characters, and how far two windows overlap (at least an id's length).
+RUN, OVERLAP = 512, 80
+
+
 def mention_pairs(
     texts: DataFrame, assets: DataFrame, keys: list[str], haystack: Column, fold: bool = True
 ) -> DataFrame:
     """(keys, asset_id) for every asset whose id is a substring of the haystack.
 
-    An id consists of [A-Za-z0-9_.-] only, so each hit lies inside one run of those
-    characters.  The distinct runs (a vocabulary, far smaller than the text) are cut
-    into substrings of the id lengths that occur and equi-joined to the ids; hits go
-    back to the texts by another equi join.  No pair of text and asset is ever formed
-    without a hit.
+    An id consists of [A-Za-z0-9_.-] only (80 characters at most), so each hit lies inside
+    one run of those characters; runs of over ``RUN`` are cut into overlapping windows.  The
+    distinct runs (a vocabulary, far smaller than the text) are cut into substrings of the
+    id lengths that occur and equi-joined to the ids; hits go back to the texts by another
+    equi join.  No pair of text and asset is ever formed without a hit.
     """
     case = F.upper if fold else (lambda c: c)
     ids = assets.select("workspace_id", "asset_id").distinct().withColumn("_piece", case(F.col("asset_id")))
-    lengths = ids.groupBy("workspace_id").agg(F.collect_set(F.length("_piece")).alias("_lengths"))
-    found = F.array_distinct(F.regexp_extract_all(case(haystack), F.lit(r"[\p{L}\p{N}_.\-]{2,}"), F.lit(0)))
-    runs = texts.select(*keys, F.explode(found).alias("_run"))
-    words = runs.select("workspace_id", "_run").distinct().join(lengths, "workspace_id")
+    # A few lengths for all workspaces; ids are compared within a workspace below.
+    lengths = ids.agg(F.collect_set(F.length("_piece"))).scalar()
+    found = F.regexp_extract_all(case(haystack), F.lit(r"[A-Za-z0-9_.\-]{2,}"), F.lit(0))
+    windows = F.transform(
+        found,
+        lambda run: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - OVERLAP), F.lit(RUN - OVERLAP)), lambda i: F.substring(run, i, F.lit(RUN))
+        ),
+    )
+    runs = texts.select(*keys, F.explode(F.array_distinct(F.flatten(windows))).alias("_run"))
+    words = runs.select("workspace_id", "_run").distinct().withColumn("_lengths", lengths)
     sized = words.withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("_run"))
     cut = F.transform(
         F.sequence(F.lit(1), F.length("_run") - F.col("_n") + 1), lambda i: F.substring(F.col("_run"), i, F.col("_n"))

@@ -105,6 +105,8 @@ def related_values(entities: DataFrame, matches: DataFrame, k: int = V.TOP_RELAT
     from evidara.functions.ordering import top_rows
 
     wanted = entities.where(F.col("entity_type").isin(V.RELATED_TYPES)).select("workspace_id", "document_id", "value").distinct()
+    # The first k of a union lie in the union of each document's first k, so cut before joining.
+    wanted = top_rows(wanted, ["workspace_id", "document_id"], [F.col("value")], k, "_nth").drop("_nth")
     documents = matches.select("query_id", "workspace_id", "document_id").distinct()
     values = documents.join(wanted, ["workspace_id", "document_id"]).select("query_id", "value").distinct()
     return top_rows(values, ["query_id"], [F.col("value")], k)

@@ -13,6 +13,7 @@ from evidara.operators.scorecard import literal_holders
 from evidara.plans import standins as S
 from evidara.plans import twin as Q
 from evidara.plans.registry import query
+from evidara.session import settle
 from evidara.sources import payloads as P
 
 
@@ -189,8 +190,10 @@ def payloads(t) -> DataFrame:
 
 
 def checked(t, kind: str) -> DataFrame:
-    items = P.items(P.unwrap(payloads(t)), kind)
-    return validate.validate(kind, validate.CANDIDATES[kind](items), pages(t), catalogue(t)).withColumn("doc_id", F.col("ord.batch")).withColumn("pos", F.col("ord.pos"))
+    # Answers are parsed once and page features built once; references and records read them.
+    items = P.items(t.once("unwrapped", lambda: settle(P.unwrap(payloads(t)))), kind)
+    features = t.once("features", lambda: settle(validate.feature_table(pages(t))))
+    return validate.validate(kind, validate.CANDIDATES[kind](items), features, catalogue(t)).withColumn("doc_id", F.col("ord.batch")).withColumn("pos", F.col("ord.pos"))
 
 
 NO_SOURCE = "'source_reference_not_found'"

@@ -13,6 +13,7 @@ from evidara.plans import ingest_queries as I
 from evidara.plans import standins as S
 from evidara.plans import twin as Q
 from evidara.plans.registry import query
+from evidara.session import settle
 
 LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ENTITY_EDGE_LABELS.items())
 STATUS = f"CASE WHEN document = '' OR evidence = '' THEN 'rejected' WHEN c >= 0.7 THEN 'accepted' ELSE 'weak' END"
@@ -45,15 +46,15 @@ VISIBLE = EDGES + NODES + """, shown AS MATERIALIZED (SELECT * FROM edges_t e WH
 
 
 def nodes(t) -> DataFrame:
-    return t.once("nodes", lambda: G.derive_nodes(S.graph_tables(t)))
+    return t.once("nodes", lambda: settle(G.derive_nodes(S.graph_tables(t))))
 
 
 def edges(t) -> DataFrame:
-    return t.once("edges", lambda: G.derive_edges(S.graph_tables(t)))
+    return t.once("edges", lambda: settle(G.derive_edges(S.graph_tables(t))))
 
 
 def shown(t) -> DataFrame:
-    return t.once("shown", lambda: G.visible_edges(edges(t), nodes(t)))
+    return t.once("shown", lambda: settle(G.visible_edges(edges(t), nodes(t))))
 
 
 @query("graph_edges", "J1 J2 H2 D13", f"{EDGES} SELECT workspace_id, source_id, target_id, relation_type, round(confidence, 2) AS confidence, validation_status, source_document, source_page, evidence_text FROM edges_t")

@@ -15,6 +15,7 @@ from evidara.operators import ingest, search, signals
 from evidara.plans import standins as S
 from evidara.plans import twin as Q
 from evidara.plans.registry import query
+from evidara.session import settle
 from evidara.sources import files as FS
 from evidara.sources import readings
 
@@ -288,7 +289,11 @@ CHUNKS_SQL = Q.chunks(PAGED, V.RETRIEVAL_CHUNK_WORDS, V.RETRIEVAL_CHUNK_OVERLAP)
 
 
 def corpus(t) -> DataFrame:
-    """Retrieval chunks of all documents; the file name is the source."""
+    """Retrieval chunks of all documents, fixed once per query; the file name is the source."""
+    return t.once("corpus", lambda: settle(_corpus(t)))
+
+
+def _corpus(t) -> DataFrame:
     chunks = ingest.chunk_pages(paged(t), ["document_id"], V.RETRIEVAL_CHUNK_WORDS, V.RETRIEVAL_CHUNK_OVERLAP)
     return chunks.select(F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")).alias("chunk_id"), F.concat("document_id", F.lit(".txt")).alias("document"), "page", "chunk_index", "text")
 
@@ -321,7 +326,7 @@ SELECT query_id, chunk_id, page, round(score, 4) AS score, rank FROM ranked WHER
 
 
 def lexical_hits(t, k: int) -> DataFrame:
-    return search.lexical_top_k(corpus(t), questions(t), k)
+    return t.once(f"hits{k}", lambda: settle(search.lexical_top_k(corpus(t), questions(t), k)))
 
 
 @query("lexical_search", "G2 D17", lexical_sql(QUESTIONS_SQL, 6))
