@@ -254,11 +254,16 @@ SELECT * FROM (SELECT workspace_id, 'entities' AS kind, 'empty_value' AS reject_
 UNION ALL SELECT workspace_id, 'entities', 'unsupported_entity_type', count(*) FROM e GROUP BY ALL
 UNION ALL SELECT workspace_id, 'entities', 'entity_value_not_in_source_text', count(*) FROM e WHERE NOT ok GROUP BY ALL
 UNION ALL SELECT workspace_id, 'entities', {NO_SOURCE}, count(*) FROM e GROUP BY ALL
-UNION ALL SELECT workspace_id, 'compliance_gaps', 'evidence_not_in_source_text', count(*) FROM e WHERE NOT ok GROUP BY ALL)""")
+UNION ALL SELECT workspace_id, 'assets', 'asset_id_not_in_source_text', count(*) FROM e GROUP BY ALL
+UNION ALL SELECT workspace_id, 'assets', 'invalid_asset_id', count(*) FROM e GROUP BY ALL
+UNION ALL SELECT workspace_id, 'timeline_events', 'invalid_event_date', count(*) FROM e GROUP BY ALL
+UNION ALL SELECT workspace_id, 'timeline_events', 'description_not_in_source_text', count(*) FROM e WHERE NOT ok GROUP BY ALL
+UNION ALL SELECT workspace_id, 'compliance_gaps', 'evidence_not_in_source_text', count(*) FROM e WHERE NOT ok GROUP BY ALL
+UNION ALL SELECT workspace_id, 'contradictions', 'evidence_not_in_source_text', count(*) FROM e WHERE NOT ok GROUP BY ALL)""")
 def _(t):
-    unwrapped = P.unwrap(payloads(t))
-    features = validate.feature_table(pages(t))
-    kinds = ("entities", "compliance_gaps")
+    unwrapped = settle(P.unwrap(payloads(t)))
+    features = settle(validate.feature_table(pages(t)))
+    kinds = list(validate.CANDIDATES)
     rows = {k: validate.validate(k, validate.CANDIDATES[k](P.items(unwrapped, k)), features, catalogue(t)) for k in kinds}
     return validate.rejects(rows)
 
