@@ -1,10 +1,12 @@
 """Byte-level BPE by higher-order functions: ranked merges are folded over each distinct word.
 
-A text is cut into words by the pattern, each block of ``BLOCK`` words keeps its distinct ones,
-and a fold merges the pair of lowest rank (the leftmost on ties) until no pair has a rank.  The
-ranks are literals: a hashed array of small maps from a pair of ids to the id of what it merges
-to, and one from whole words to their id.  A block is bounded, so the work of a text grows with
-its length; the work of a single word without a break grows with the square of its length.
+A text is cut into words by the pattern; documents are taken in blocks of about ``BLOCK`` bytes, which
+keep each distinct word once and the words of their documents as numbers.  For each distinct word of
+a block a fold merges the pair of lowest rank (the leftmost on ties) until no pair has a rank; the
+documents of the block then take the ids of their words.  Nothing is shuffled.  The
+ranks are literals: hashed arrays from a pair of ids to the id of what it merges
+to, and from whole words to their id.  A block is bounded (or one batch of texts), so the work grows with
+the text; the work of a single word without a break grows with the square of its length.
 
 Decoding looks up the bytes of each id and concatenates them.
 
@@ -17,10 +19,12 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +32,15 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Java's \s is ASCII unless told otherwise.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
-BLOCK = 512
+# Bytes of text whose distinct words are folded together.
+BLOCK = 16 << 20
+# Documents of one batch of results.
+ROWS = 256
 SLOTS = (150_001, 150_011)
-NONE = 2**31 - 1
+# Bits of a part: 17 for a rank (all set: none), 29 for a place, 17 for an id plus one.
+NONE = 2**17 - 1
+IDS = 2**17 - 1
+PLACES = (2**29 - 1) << 17
 
 
 @cache
@@ -66,8 +76,8 @@ def _tables(vocabulary: str) -> str:
             left, right = known.get(whole[:cut]), known.get(whole[cut:])
             if left is not None and right is not None:
                 pairs.append((left * 65536 + right, rank))
-    words = [(whole.hex().upper(), rank) for whole, rank in known.items()]
-    hashed = [xxhash.xxh64_intdigest(code, 42) for code, _ in words]
+    words = [(whole.decode("latin-1"), rank) for whole, rank in known.items()]
+    hashed = [xxhash.xxh64_intdigest(code.encode(), 42) for code, _ in words]
     signed = [h - 2**64 if h >> 63 else h for h in hashed]
     pair_slots = _cuckoo([(k % SLOTS[0], SLOTS[0] + k % SLOTS[1]) for k, _ in pairs], sum(SLOTS))
     word_slots = _cuckoo([(h % SLOTS[0], SLOTS[0] + h % SLOTS[1]) for h in signed], sum(SLOTS))
@@ -77,6 +87,7 @@ def _tables(vocabulary: str) -> str:
         "pair_keys": pick(pairs, pair_slots, 0), "pair_ranks": pick(pairs, pair_slots, 1),
         "word_keys": pick(words, word_slots, 0), "word_ranks": pick(words, word_slots, 1),
         "first": [known[bytes([b])] for b in range(256)],
+        "byte_pairs": [known.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)],
         "little": [rank.to_bytes(4, "little").hex() for rank in range(len(order))],
         "pieces": [b.hex() for b in order],
     }
@@ -85,13 +96,16 @@ def _tables(vocabulary: str) -> str:
 
 SCHEMA = (
     "pair_keys array<bigint>, pair_ranks array<int>, word_keys array<string>, word_ranks array<int>, "
-    "first array<int>, little array<string>, pieces array<string>"
+    "first array<int>, byte_pairs array<int>, little array<string>, pieces array<string>"
 )
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is evaluated once: a fold over nothing with ``body`` at its end.
+
+    An element of a transformed array would do too, but asks for the type of ``body`` with each value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def _held(keys: Column, values: Column, key: Column, hashed: Column, otherwise: Column) -> Column:
@@ -109,67 +123,55 @@ def _rank(t: Column, left: Column, right: Column) -> Column:
 
 
 def _merged(t: Column, code: Column) -> Column:
-    """Ids of a word given as hexadecimal bytes, by the fold of ranked merges.
+    """Ids of a word given with a character for each byte, by the fold of ranked merges.
 
-    The state has one number for each part of the word, its rank with the part to the right
-    above its id, and -1 as the id at both ends.
+    The state has one number for each part of the word: from above, its rank with the part to the
+    right, the place of its first byte, its id plus one (zero: the ends).  Its minimum is so the
+    leftmost pair of lowest rank, and a step replaces three parts around it by two.
     """
-    n = (F.length(code) / 2).cast("int")
-    place = lambda i: F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-    edge = F.array(F.lit(-1))
-    ids = F.concat(edge, F.transform(F.sequence(F.lit(1), n), lambda i: F.get(t["first"], place(i))), edge)
-    both = lambda rank, x: F.shiftleft(rank.cast("long"), 32) + x + 1
-    own = lambda x: (x.bitwiseAND(F.lit(NONE)) - 1).cast("int")
+    n = F.length(code)
+    part = lambda rank, place, own: F.shiftleft(rank.cast("long"), 46) + place + own + 1
+    place = lambda x: x.bitwiseAND(F.lit(PLACES))
+    own = lambda x: (x.bitwiseAND(F.lit(IDS)) - 1).cast("int")
+    edge = F.array(F.lit(NONE << 46))
 
-    def start(a: Column) -> Column:
-        return F.transform(a, lambda x, i: both(_rank(t, x, F.coalesce(F.get(a, i + 1), F.lit(-1))), x))
+    def start(bytes_: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(t["byte_pairs"], x * 256 + F.get(bytes_, i + 1)), F.lit(NONE))
+            return part(rank, F.shiftleft((i + 1).cast("long"), 17), F.get(t["first"], x))
+
+        return F.concat(edge, F.transform(bytes_, of), edge)
 
     def step(s: Column) -> Column:
-        # The lowest rank and, below it, the place of its leftmost pair.
-        low = F.array_min(F.transform(s, lambda x, i: F.shiftleft(F.shiftright(x, 32), 32) + i))
-
-        def at(found: Column) -> Column:
-            q, rank = found.bitwiseAND(F.lit(NONE)).cast("int"), F.shiftright(found, 32).cast("int")
-            near = lambda i: own(F.get(s, i))
-            fresh = F.transform(
-                F.filter(s, lambda x, i: i != q + 1),
-                lambda x, i: F.when(i == q, both(_rank(t, rank, near(q + 2)), rank))
-                .when(i == q - 1, both(_rank(t, own(x), rank), own(x)))
-                .otherwise(x),
-            )
-            return F.when(rank == NONE, s).otherwise(fresh)
-
-        return _let(low, at)
-
-    done = F.aggregate(F.sequence(F.lit(2), n), _let(ids, start), lambda s, _: step(s))
+        def at(low: Column) -> Column:
+            fresh = F.shiftright(low, 46).cast("int")
+
+            def around(q: Column) -> Column:
+                left = F.get(s, q - 2)
+                two = F.array(
+                    part(_rank(t, own(left), fresh), place(left), own(left)),
+                    part(_rank(t, fresh, own(F.get(s, q + 1))), place(low), fresh),
+                )
+                return F.flatten(F.array(F.slice(s, F.lit(1), q - 2), two, F.slice(s, q + 2, F.size(s) - q - 1)))
+
+            return F.when(fresh == NONE, s).otherwise(_let(F.array_position(s, low).cast("int"), around))
+
+        return _let(F.array_min(s), at)
+
+    bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(code, i, F.lit(1))))
+    done = F.aggregate(F.sequence(F.lit(2), n), _let(bytes_, start), lambda s, _: step(s))
     return F.filter(F.transform(done, own), lambda x: x >= 0)
 
 
-def _word(t: Column, text: Column) -> Column:
-    """Ids of one match of the pattern."""
+def _word(t: Column, word: Column) -> Column:
+    """Ids of one match of the pattern, given as its bytes."""
 
     def of(code: Column) -> Column:
         whole = _held(t["word_keys"], t["word_ranks"], code, F.xxhash64(code), F.lit(-1))
         # A single byte always has a rank, so a fold has at least two.
         return _let(whole, lambda w: F.when(w >= 0, F.array(w)).otherwise(_merged(t, code)))
 
-    return _let(F.hex(text.cast("binary")), of)
-
-
-def encode(t: Column, text: Column) -> Column:
-    """Ids of a whole text; ``t`` is the record of tables."""
-
-    def block(words: Column) -> Column:
-        own = F.array_distinct(words)
-        pairs = F.map_from_arrays(own, F.transform(own, lambda w: _word(t, w)))
-        return _let(pairs, lambda known: F.flatten(F.transform(words, lambda w: known[w])))
-
-    def blocks(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words), F.lit(BLOCK))
-        return F.flatten(F.transform(starts, lambda i: _let(F.slice(words, i, F.lit(BLOCK)), block)))
-
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(_let(found, blocks))
+    return _let(F.decode(word, "ISO-8859-1"), of)
 
 
 def packed(t: Column, ids: Column) -> Column:
@@ -187,9 +189,66 @@ def _with_tables(vocabulary: str, body: Callable[[Column], Column]) -> Column:
     return _let(F.from_json(F.lit(_tables(vocabulary)), SCHEMA), body)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, words -> one row for each block of documents: ids, sizes, distinct words, their codes."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lists = pa.concat_arrays([b.column(1) for b in held])
+        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        ids = pa.concat_arrays([b.column(0) for b in held])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [one(ids), pa.array([sizes.tobytes()]), one(words.dictionary.cast(pa.binary())), pa.array([codes.tobytes()])],
+            ["doc_ids", "sizes", "words", "codes"],
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK:
+            yield block(held)
+            held, size = [], 0
+    if held:
+        yield block(held)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block whose words have their ids -> doc_id, ids of each of its documents."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            docs = batch.column(0)[row].values
+            sizes = np.frombuffer(batch.column(1)[row].as_py(), np.int32)
+            codes = np.frombuffer(batch.column(2)[row].as_py(), np.int32)
+            known = batch.column(3)[row].values
+            lengths = known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = known.flatten().to_numpy(zero_copy_only=False)
+            firsts = np.cumsum(lengths) - lengths
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for low in range(0, len(docs), ROWS):
+                high = min(low + ROWS, len(docs))
+                own = codes[ends[low] : ends[high]]
+                counts = lengths[own]
+                upto = np.concatenate([[0], np.cumsum(counts)])
+                ids = values[np.repeat(firsts[own] - upto[:-1], counts) + np.arange(upto[-1])]
+                offsets = upto[ends[low : high + 1] - ends[low]].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([docs[low:high], lists], ["doc_id", "ids"])
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text -> doc_id, ids."""
-    return docs.select("doc_id", _with_tables(vocabulary, lambda t: encode(t, F.col("text"))).alias("ids"))
+    found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
+    words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(found)
+    blocks = docs.select(F.col("doc_id").cast("long"), words.alias("words")).mapInArrow(
+        _blocks, "doc_ids array<bigint>, sizes binary, words array<binary>, codes binary"
+    )
+    folded = _with_tables(vocabulary, lambda t: F.transform("words", lambda w: _word(t, w)))
+    return blocks.select("doc_ids", "sizes", "codes", folded.alias("ids")).mapInArrow(
+        _spread, "doc_id bigint, ids array<int>"
+    )
 
 
 def digests(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
