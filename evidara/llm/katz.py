@@ -7,8 +7,8 @@ with Good-Turing discounts d(c) for counts up to ``CUT``, alpha(v) such that the
 after v sum to one exactly (the 1 leaves some mass where no count is discounted), and a Good-Turing unigram P(w) that leaves the mass of new words to
 as many unseen words as the counts suggest (n1^2 / 2 n2), evenly.  Every text ends with an end
 token, which is also the context of its first word.  All texts are scored; counts come from the
-training texts only.  Discounts of bigrams are estimated for each table partition, a class of
-contexts (by hash) with some millions of tokens.
+training texts only.  Discounts of bigrams come from the counts of counts of all bigrams, so a
+score does not depend on the number of partitions.
 
 How it runs.  Words are told apart by 64-bit hashes.  A chunk is a set of documents (by a hash)
 small enough for a task; what a chunk asks for travels as packed sorted arrays:
@@ -17,9 +17,12 @@ small enough for a task; what a chunk asks for travels as packed sorted arrays:
    the word partitions, which answer each chunk with numbers and total counts for its words;
 2. bigrams: each chunk sends its distinct bigrams with counts and places to the partition of the
    context (a context of over ``HOT`` tokens is spread by the whole bigram), where the table of
-   the partition is formed: totals, backoff weights, log probabilities; sums per document go back;
-3. sums are added up by chunk.  Only the weights of spread contexts, of which there are at most
-   ``SHARES``, come to the driver in between.
+   the partition is formed.  Back go, by document, the sums of log probabilities without discounts,
+   how many bigrams have each discounted count, and which contexts it backs off from, with what
+   their weights are made of; counts of counts go along;
+3. counts of counts are added up over all partitions, which gives the discounts, and sums,
+   discounts and backoff weights are added up by chunk.  Only counts of counts and the parts of
+   spread contexts, of which there are at most ``SHARES``, come to the driver in between.
 
 Defined results: a null text is empty (its only token is the end); repeated rows are scored and
 counted each; a null id counts as the empty text in the choice of training rows; an empty table
@@ -284,6 +287,14 @@ class Model:
 
 
 
+def kept_mass(d: np.ndarray, tally: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of P(w | v) over the kept bigrams of contexts with ``size`` tokens.
+
+    ``tally`` has for each context its bigrams by count up to ``CUT``, and the tokens of all others.
+    """
+    return (tally[:, :CUT] @ (d[1:] * np.arange(1, CUT + 1)) + tally[:, CUT]) / (size + 1)
+
+
 def log_alpha(katz: np.ndarray, plain: np.ndarray) -> np.ndarray:
     """log10 of the backoff weight from the sums of P(w | v) and of P(w) over the kept bigrams."""
     return np.log10(np.maximum(1 - katz, 1e-15) / np.maximum(1 - plain, 1e-15))
@@ -297,7 +308,8 @@ ASK_BIGRAMS = (
 )
 ANSWER_BIGRAMS = (
     "chunk int, ids array<long>, held array<boolean>, totals array<long>, known array<long>, base array<double>, "
-    "docs binary, sums binary, owing binary, owed binary, context array<long>, katz array<double>, plain array<double>"
+    "docs binary, sums binary, levels binary, owing binary, owed binary, tally binary, size binary, rest binary, "
+    "ones array<long>, context array<long>, tallies array<long>, sizes array<long>, plain array<double>"
 )
 
 
@@ -345,10 +357,12 @@ def _ask_bigrams(model: Model, parts: int):
 
 
 def _answer_bigrams(model: Model):
-    """Sums of log probabilities by chunk and document.
+    """Sums of log probabilities by chunk and document, all but discounts and backoff weights.
 
-    What bigrams of spread contexts still lack, the weight of their context, is listed by
-    document (owing) and context (owed); the partial sums of these contexts go along.
+    ``levels`` has the bigrams of each document by count up to ``CUT``.  What bigrams that are not
+    kept still lack, the weight of their context, is listed by document (owing) and context (owed):
+    the place of a spread context, or -1 - the place among the contexts of the block, whose
+    tallies go along.  One row (chunk -1) has counts of counts and the tallies of spread contexts.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -357,7 +371,7 @@ def _answer_bigrams(model: Model):
         for i, ids in enumerate(given["ids"]):
             if ids is not None:
                 facts = [given[n][i] for n in ("ids", "held", "totals", "known", "base")]
-                rows.append((given["chunk"][i], *facts, *[None] * 7))
+                rows.append((given["chunk"][i], *facts, *[None] * 13))
         blocks = [i for i, x in enumerate(given["x"]) if x is not None]
         if not blocks:
             return pa.table(_table(rows, ANSWER_BIGRAMS))
@@ -374,29 +388,37 @@ def _answer_bigrams(model: Model):
         head = order[first]
         count = np.bincount(group, train, len(head)).astype(np.int64)
         # The table of this partition: one entry for each bigram.
-        d = discounts(np.bincount(np.minimum(count, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist())
+        ones = np.bincount(np.minimum(count, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
         plain, keep = model.log_word(single[head]), count >= KEEP
-        katz = np.where(keep, np.where(count > CUT, 1.0, d[np.minimum(count, CUT)]) * count / (context[head] + 1), 0.0)
         opens = starts(x[head])
-        width = np.diff(np.append(opens, len(head)))
-        sum_katz = np.add.reduceat(katz, opens)
+        opened = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(head))))
+        level = np.where(keep & (count <= CUT), count, 0)
+        tally = np.stack(
+            [np.add.reduceat((level == r).astype(np.int64), opens) for r in range(1, CUT + 1)]
+            + [np.add.reduceat(np.where(keep & (count > CUT), count, 0), opens)], axis=1
+        )
+        size = context[head][opens]
         sum_plain = np.add.reduceat(np.where(keep, 10.0**plain, 0.0), opens)
         spread = model.is_spread(x[head][opens])
-        weight = np.where(spread, 0.0, log_alpha(sum_katz, sum_plain))
         with np.errstate(divide="ignore"):
-            log = np.where(keep, np.log10(katz), np.repeat(weight, width) + plain)
-        lacks = np.repeat(spread, width) & ~keep
-        if spread.any():
-            contexts = x[head][opens][spread].tolist()
-            rows.append((-1, *[None] * 9, contexts, sum_katz[spread].tolist(), sum_plain[spread].tolist()))
+            log = np.where(keep, np.log10(count / (context[head] + 1)), plain)
+        far = (x[head][opens][spread].tolist(), tally[spread].ravel().tolist(), size[spread].tolist(), sum_plain[spread].tolist())
+        rows.append((-1, *[None] * 13, ones, *far))
         low = 0
         for i, times in zip(blocks, of("times"), strict=True):
             own = group[low : low + len(times)]
             each, place = np.repeat(own, times), unpack(given["place"][i])
             docs, sums = summed(place, log[each])
-            owing = lacks[each]
-            owed = np.searchsorted(model.spread, np.repeat(x[low : low + len(times)], times)[owing])
-            rows.append((given["chunk"][i], *[None] * 5, pack(docs), sums.tobytes(), pack(place[owing]), pack(owed), None, None, None))
+            few = level[each] > 0
+            cells = np.searchsorted(docs, place[few]) * CUT + level[each][few] - 1
+            levels = np.bincount(cells, minlength=len(docs) * CUT)
+            owing = ~keep[each]
+            lacks = opened[each][owing]
+            near, owed = np.unique(lacks[~spread[lacks]]), np.zeros(len(lacks), np.int64)
+            owed[~spread[lacks]] = -1 - np.searchsorted(near, lacks[~spread[lacks]])
+            owed[spread[lacks]] = np.searchsorted(model.spread, x[head][opens][lacks[spread[lacks]]])
+            parts = (pack(docs), sums.tobytes(), pack(levels), pack(place[owing]), pack(owed), pack(tally[near].ravel()), pack(size[near]), sum_plain[near].tobytes())
+            rows.append((given["chunk"][i], *[None] * 5, *parts, *[None] * 5))
             low += len(times)
         return pa.table(_table(rows, ANSWER_BIGRAMS))
 
@@ -408,18 +430,22 @@ def _answer_bigrams(model: Model):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _add_up(model: Model, weights: np.ndarray):
-    """Sums of a chunk's documents; ``weights`` are those of the spread contexts."""
+def _add_up(model: Model, d: np.ndarray, weights: np.ndarray):
+    """Sums of a chunk's documents; ``d`` are the discounts, ``weights`` those of the spread contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         given = {n: table.column(n).to_pylist() for n in table.column_names}
         facts = next(i for i, ids in enumerate(given["ids"]) if ids is not None)
         n = len(given["ids"][facts])
         score = np.zeros(n)
-        for docs, sums, owing, owed in zip(given["docs"], given["sums"], given["owing"], given["owed"], strict=True):
+        names = ("docs", "sums", "levels", "owing", "owed", "tally", "size", "rest")
+        for docs, sums, levels, owing, owed, tally, size, rest in zip(*(given[n] for n in names), strict=True):
             if docs is not None:
-                np.add.at(score, unpack(docs), np.frombuffer(sums, np.float64))
-                np.add.at(score, unpack(owing), weights[unpack(owed)])
+                own = np.frombuffer(sums, np.float64) + unpack(levels).reshape(-1, CUT) @ np.log10(d[1:])
+                np.add.at(score, unpack(docs), own)
+                near = log_alpha(kept_mass(d, unpack(tally).reshape(-1, CUT + 1), unpack(size)), np.frombuffer(rest, np.float64))
+                # Spread contexts from the front, those of the block from the back.
+                np.add.at(score, unpack(owing), np.concatenate([weights, near[::-1]])[unpack(owed)])
         ids, held, totals, known, base = (given[k][facts] for k in ("ids", "held", "totals", "known", "base"))
         rows = list(zip(ids, held, totals, known, [model.tokens] * n, base, score.tolist(), strict=True))
         return pa.table(_table(rows, SCORES))
@@ -443,10 +469,17 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = answers.where("chunk >= 0").select("chunk", "part", "index", "counts")
     asked = docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_ask_bigrams(model, parts), ASK_BIGRAMS)
     sums = settle(asked.groupBy("part").applyInArrow(_answer_bigrams(model), ANSWER_BIGRAMS))
-    each = sums.where("chunk = -1").select(F.explode(F.arrays_zip("context", "katz", "plain")).alias("e"))
-    rows = each.groupBy("e.context").agg(F.sum("e.katz").alias("katz"), F.sum("e.plain").alias("plain")).collect()
+    tables = sums.where("chunk = -1")
+    ones = tables.agg(*[F.sum(F.get("ones", F.lit(i))).alias(f"n{i}") for i in range(CUT + 1)]).first()
+    d = discounts([int(v or 0) for v in ones])
+    each = tables.select(F.posexplode("context").alias("i", "context"), "tallies", "sizes", "plain")
+    tally = [F.sum(F.get("tallies", F.col("i") * (CUT + 1) + r)).alias(f"t{r}") for r in range(CUT + 1)]
+    whole = (F.max(F.get("sizes", "i")).alias("size"), F.sum(F.get("plain", "i")).alias("plain"))
+    rows = each.groupBy("context").agg(*tally, *whole).collect()
     weights = np.zeros(len(model.spread))
     if rows:
         place = np.searchsorted(model.spread, np.array([r["context"] for r in rows], np.int64))
-        weights[place] = log_alpha(np.array([r["katz"] for r in rows]), np.array([r["plain"] for r in rows]))
-    return sums.where("chunk >= 0").groupBy("chunk").applyInArrow(_add_up(model, weights), SCORES)
+        tally = np.array([[r[f"t{i}"] for i in range(CUT + 1)] for r in rows], np.int64)
+        katz = kept_mass(d, tally, np.array([r["size"] for r in rows], np.int64))
+        weights[place] = log_alpha(katz, np.array([r["plain"] for r in rows]))
+    return sums.where("chunk >= 0").groupBy("chunk").applyInArrow(_add_up(model, d, weights), SCORES)

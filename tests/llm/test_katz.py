@@ -123,3 +123,15 @@ def test_odd_inputs(spark):
     assert katz.scored(texts(df.limit(0)), bucket_of("doc_id", 7) == 2).collect() == []
     none = katz.scored(texts(df), bucket_of("doc_id", 1) == 0).collect()
     assert len(none) == 7 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score <= 0 for r in none)
+
+
+@pytest.mark.parametrize("hot", [10**9, 60])
+def test_several_partitions_against_the_global_model(spark, monkeypatch, hot):
+    monkeypatch.setattr(katz, "PART_TOKENS", 800)
+    monkeypatch.setattr(katz, "CHUNK_CHARS", 5000)
+    monkeypatch.setattr(katz, "HOT", hot)
+    random = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{int(x)}" for x in random.zipf(1.3, 40) % 400)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = check(spark, rows, katz.scored(texts(df), bucket_of("doc_id", 7) == 2).collect())
+    assert any(plain.d2[1:] < 1)
