@@ -2,10 +2,13 @@
 
 A search for the largest inner product is a search for the nearest point once every vector gets
 one more component, sqrt(M^2 - |x|^2) with M the largest norm, and a query is scaled to norm M.
+Vectors are hashed in ranges of norms (a factor of ``RANGE`` each) with an M of their own, scaled to
+M = 1; so a query has the same buckets in all ranges, and few long vectors do not crowd the others.
 ``TABLES`` tables of ``HASHES`` functions floor((a.x + b) / w) with Gaussian ``a`` hold every
 vector once each.  A query visits ``PROBES`` buckets a table: its own, then those with some
 functions moved by one cell, in the order of estimated success (the sum of squared distances to
 the cell walls crossed).  Candidates of all tables are merged and ranked by their exact score.
+A query that meets fewer than k vectors in its buckets, though there are more, is held against all.
 
 A bucket of more than ``BUCKET`` vectors is cut into parts by a hash of the id, and all parts
 are searched, so a third of all rows in one bucket are many tasks.  Buckets travel in cells of
@@ -16,8 +19,8 @@ share of the table (README has the figures); tables, functions and probes are pa
 
 Defined results: rows with a null id, and vectors that are null, zero, or hold a null or
 non-finite component take no part; a shorter vector counts as filled up with zeros; of repeated
-ids the smallest vector counts; equal scores go to the smaller id; fewer candidates give fewer
-rows; an empty table gives an empty result.
+ids the smallest vector counts; equal scores go to the smaller id; only a table of fewer than
+k + 1 vectors gives fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,15 +38,16 @@ from evidara.llm.base import settle, sized
 from evidara.llm.exact import finite, matrix
 
 TABLES, HASHES, PROBES, WIDTH, SEED = 3, 4, 40, 1.5, 7
+RANGE = 2**0.5
 BUCKET, CELL, QUERY_BLOCK = 4096, 16_384, 2048
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """The functions of all tables; ``reach`` is the largest norm M."""
+    """The functions of all tables; ``reach`` is the largest norm of all ranges."""
 
     a: np.ndarray  # tables x dimensions + 1 x functions
-    b: np.ndarray  # tables x functions
+    b: np.ndarray  # tables x functions, in units of M
     w: float
     reach: float
     mix: np.ndarray  # odd multipliers that make one number of a bucket's cells
@@ -52,17 +56,17 @@ class Hashing:
     def make(width: int, reach: float, tables: int, hashes: int, cell: float) -> Hashing:
         random = np.random.default_rng(SEED)
         a = random.normal(size=(tables, width + 1, hashes))
-        w = cell * reach
         mix = random.integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return Hashing(a, random.random((tables, hashes)) * w, w, reach, mix)
+        return Hashing(a, random.random((tables, hashes)) * cell, cell, reach, mix)
 
     def project(self, rows: np.ndarray, query: bool) -> np.ndarray:
         """Places in units of a cell: tables x rows x functions."""
         norm = np.sqrt((rows**2).sum(1))
         if query:
-            rows, last = rows * (self.reach / norm)[:, None], np.zeros(len(rows))
+            rows, last = rows / norm[:, None], np.zeros(len(rows))
         else:
-            last = np.sqrt(np.maximum(self.reach**2 - norm**2, 0))
+            most = self.reach * RANGE ** -np.floor(np.log(self.reach / norm) / np.log(RANGE))
+            rows, last = rows / most[:, None], np.sqrt(np.maximum(1 - (norm / most) ** 2, 0))
         full = np.concatenate([rows, last[:, None]], axis=1)
         return (np.einsum("nd,tdh->tnh", full, self.a) + self.b[:, None]) / self.w
 
@@ -218,9 +222,31 @@ def top_k(
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    keys = ("t", "cell", "block")
-    met = wanted.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    merged = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        keys = ("t", "cell", "block")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        rows = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return rows.select("query_id", "rank", "vec_id", "score")
+
+    probed_best = settle(ranked(met(wanted, placed)))
+    full = probed_best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
+    short = asked.select(F.col("vec_id").alias("query_id"), "x").join(full, "query_id", "left_anti")
+    short_count = short.count()
+    if not short_count:
+        return probed_best
+    # All rows, dealt into blocks, against the blocks of these queries.
+    short_blocks = sized(short_count, QUERY_BLOCK)
+    one = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket")]
+    block = F.pmod(F.xxhash64("query_id"), F.lit(short_blocks)).cast("int").alias("block")
+    cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")
+    left = short.select("query_id", "x", one[0], block, F.array(one[1]).alias("buckets"), cell)
+    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell")
+    # Columns of their own: both sides come from one table.
+    both = [F.col(c).alias(c) for c in ("vec_id", "x")]
+    right = vectors.select(*one, dealt, *both, F.explode(F.sequence(F.lit(0), F.lit(short_blocks - 1))).alias("block"))
+    filled = ranked(met(left, right))
+    return probed_best.join(short.select("query_id"), "query_id", "left_anti").select(*filled.columns).unionByName(filled)

@@ -32,6 +32,10 @@ def recall(made, want):
     return np.mean([len({i for i, _ in made.get(q, [])} & {i for i, _ in w}) / len(w) for q, w in want.items()])
 
 
+def frame(spark, rows):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, x array<double>")
+
+
 def test_recall_and_scores_on_given_vectors(spark):
     folder = "/root/testdata/sf0.1"
     given = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
@@ -82,3 +86,25 @@ def test_odd_inputs(spark):
     made = answer(nearest.top_k(held, F.col("vec_id") % 20 == 0, 5, probes=81))
     assert made == {0: [(7, 1.5), (8, 1.5)]}
     assert answer(nearest.top_k(held.limit(0), F.col("vec_id") % 20 == 0, 5)) == {}
+
+
+def test_no_query_is_short_with_registered_parameters(spark):
+    random = np.random.default_rng(3)
+    few = random.normal(size=(15, 8))
+    few /= np.linalg.norm(few, axis=1)[:, None]
+    made = answer(nearest.top_k(frame(spark, few), F.col("vec_id") >= 0, 20))
+    assert {q: [i for i, _ in own] for q, own in made.items()} == {
+        q: [i for i, _ in own] for q, own in brute(np.arange(15), few, lambda i: i >= 0, 20).items()
+    }
+
+
+def test_norms_with_registered_parameters(spark):
+    random = np.random.default_rng(4)
+    unit = random.normal(size=(4000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for norm in (np.where(np.arange(4000) == 7, 50.0, 1.0), np.exp(random.normal(size=4000) * 0.5)):
+        rows = unit * norm[:, None]
+        made = answer(nearest.top_k(frame(spark, rows), F.col("vec_id") % 20 == 0, 20))
+        want = brute(np.arange(4000), rows, lambda i: i % 20 == 0, 20)
+        assert made.keys() == want.keys() and all(len(v) == 20 for v in made.values())
+        assert recall(made, want) >= 0.93, recall(made, want)
