@@ -33,7 +33,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'\x00-\x20]+")
-_VALUE = re.compile(r"(?:[ _-]?(?:number|no|id|nr))?\.?[\x20\t]*[:=#]?[\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9._-]{5,63})")
+_VALUE = re.compile(r"(?:[ _-]?(?:number|no|id|nr))?\.?[\x20\t]*[:=#]?[\x20\t]*[\"']?(?=([A-Za-z0-9][A-Za-z0-9._+/=~-]{5}))")
+_REST = re.compile(r"[A-Za-z0-9._+/=~-]+")
 _NUMBER_AHEAD = re.compile(r"[0-9]{1,5}[a-z]?,? (?:[^\W\d_]+ ){0,3}$")
 _NUMBER_BEHIND = re.compile(r"(?: [^\W\d_]+){0,3},? [0-9]{1,5}[a-z]?\b")
 _DIGITS = frozenset("0123456789")
@@ -89,6 +90,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) in code points, by start, then kind as in ``KINDS``."""
     spans: list[tuple[int, int, int]] = []
     done = [0] * len(KINDS)  # end of the last candidate of a kind
+    bare = 0  # end of the last value without a digit
 
     def take(kind: int, hit, valid=None) -> None:
         if hit is not None:
@@ -122,8 +124,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif anchor == "cue":
             if begin >= done[5] and not (begin and text[begin - 1].isalnum()):
                 hit = _VALUE.match(text, last + 1)
-                if hit and any(c in _DIGITS for c in hit[1]):
-                    take(5, hit.span(1))
+                # A value that was read to its end without a digit is not read again by a cue inside it.
+                if hit and hit.start(1) >= bare:
+                    value = _REST.match(text, hit.start(1))
+                    if any(c in _DIGITS for c in value[0]):
+                        take(5, value.span())
+                    else:
+                        bare = value.end()
         elif begin >= done[6] and not (last + 1 < len(text) and text[last + 1].isalpha()):
             low = max(done[6], begin - 80)
             hit = _NUMBER_AHEAD.search(text, low, begin)

@@ -83,3 +83,14 @@ def test_rows(spark):
     assert sorted(clean[0].asDict()) == ["doc_id", "spans", "text"]
     assert [r.text for r in clean if r.doc_id == 1] == ["[EMAIL] [IP]"] * 2
     assert personal.spans_of(texts(df.limit(0))).collect() == []
+
+
+def test_long_values_are_masked_whole():
+    for size in (64, 65, 700):
+        for value in ("a1" * size)[:size], ("aB3+/x~y=" * size)[: size - 2] + "==":
+            for quote in ("", '"'):
+                text = f"api_key = {quote}{value}{quote} end"
+                assert personal.mask(text) == f"api_key = {quote}[ACCOUNT]{quote} end"
+    assert personal.mask("token: " + "eyJh.eyJz-_9." * 40 + " end") == "token: [ACCOUNT] end"
+    assert personal.mask("token password: abc123 token-" + "password-" * 9) == "token password: [ACCOUNT] token-" + "password-" * 9
+    assert personal.find("token=" + "a-token-" * 100_000) == []
