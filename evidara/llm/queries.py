@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import bpe, chat, exact, katz, lines, nearest, packing, personal, quality, simhash
+from evidara.llm import bpe, chat, exact, katz, lines, mixing, nearest, packing, personal, quality, simhash
 from evidara.llm.base import bucket_of, read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,34 @@ def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, digest and spans of personal data in every document."""
     return personal.spans_of(texts(read(spark, folder, "documents")))
+
+
+@register
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes from every document, by weights of the sources."""
+    return mixing.mixed(read(spark, folder, "documents"))
+
+
+ORACLES["op12_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::HUGEINT AS source_size, 2 * 2 * sum(size)::HUGEINT AS cap,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS weight FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, 3 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap * 10 / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY cap * 10 / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM sources),
+level AS (SELECT rest, others FROM ordered WHERE weight * rest <= cap * others ORDER BY cap * 10 / weight, source LIMIT 1),
+targets AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+         CASE WHEN weight * l.rest > cap * l.others THEN CAST(2 * source_size AS DOUBLE)
+              ELSE CAST(weight * l.rest AS DOUBLE) / CAST(l.others * 2 AS DOUBLE) END AS target FROM sources, level l),
+goals AS (
+  SELECT *, CAST(floor(target) AS BIGINT) AS goal, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM targets),
+placed AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.goal - g.whole * g.source_size AS extra,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, extra - earlier)) AS BIGINT) AS taken FROM placed
+"""
