@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import bpe, chat, exact, katz, lines, mixing, nearest, packing, personal, quality, simhash
+from evidara.llm import align, bpe, chat, exact, katz, lines, mixing, nearest, packing, personal, quality, ranked, simhash
 from evidara.llm.base import bucket_of, read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,36 @@ placed AS (
   FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, extra - earlier)) AS BIGINT) AS taken FROM placed
 """
+
+
+@register
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    return ranked.top_k(texts(read(spark, folder, "documents")), read(spark, folder, "benchmark"), 10)
+
+
+ORACLES["op13_ranked_search"] = r"""
+WITH words AS (
+  SELECT *, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+counts AS (SELECT kind, id, term, count(*) AS tf FROM words GROUP BY kind, id, term),
+docs AS (SELECT id, sum(tf)::BIGINT AS n FROM counts WHERE kind = 'd' GROUP BY id),
+total AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM docs),
+normal AS (SELECT docs.id, 100 - 75 + (75 * docs.n * total.n) // total.l AS m FROM docs, total),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counts WHERE kind = 'd' GROUP BY term), total),
+scored AS (
+  SELECT i.id AS item_id, d.id AS doc_id, sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::BIGINT AS score
+  FROM counts i JOIN counts d ON i.kind = 'i' AND d.kind = 'd' AND i.term = d.term JOIN weights ON weights.term = d.term JOIN normal ON normal.id = d.id
+  GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@register
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens of both tokenizers for every document."""
+    return align.scored(texts(read(spark, folder, "documents")))
