@@ -26,10 +26,9 @@ import json
 import os
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +46,8 @@ BLOCK = 8 << 20
 # Stretches that a worker keeps from block to block, some 500 bytes each.
 KEPT = 120_000
 ROWS = 256
+# Stretches that are encoded together; links of a group that are written out one by one.
+BATCH, WIDE = 8192, 4096
 _CUT = re.compile(r"(?<=[\w!-~])(?= )")
 _PLAIN = re.compile(r" +[^ ]*")
 # A character before a blank that does not make a cut.
@@ -59,26 +60,36 @@ def stretches(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else _PLAIN.findall(text)
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Two rising lists of ends with the same last one -> groups (from, to) of each list, in order."""
-    groups, todo = [], [(0, len(a), 0, len(b))]
+def align(a: list[int], b: list[int], starts: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """Two rising lists of ends with the same last one -> groups (from, to) of each list, in order.
+
+    ``starts`` are intervals whose last ends are shared, in order; without them all is one interval.
+    """
+    groups, todo = [], (starts or [(0, len(a), 0, len(b))])[::-1]
     while todo:
-        i, i_end, j, j_end = todo.pop()
-        cut = None
-        if i_end - i > 1 and j_end - j > 1:
-            middle = (i + i_end - 1) // 2
-            for step in range(i_end - i):
-                at = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-                if i <= at < i_end - 1:
-                    other = bisect_left(b, a[at], j, j_end - 1)
-                    if other < j_end - 1 and b[other] == a[at]:
-                        cut = at + 1, other + 1
-                        break
-        if cut is None:
-            groups.append((i, i_end, j, j_end))
-        else:
-            todo.append((cut[0], i_end, cut[1], j_end))
-            todo.append((i, cut[0], j, cut[1]))
+        i, i_end, j, j_end = interval = todo.pop()
+        if i_end - i == 1 or j_end - j == 1:
+            groups.append(interval)
+            continue
+        low = high = (i + i_end - 1) // 2
+        while True:
+            if low >= i:
+                other = bisect_left(b, a[low], j, j_end - 1)
+                if other < j_end - 1 and b[other] == a[low]:
+                    todo.append((low + 1, i_end, other + 1, j_end))
+                    todo.append((i, low + 1, j, other + 1))
+                    break
+            high += 1
+            if high < i_end - 1:
+                other = bisect_left(b, a[high], j, j_end - 1)
+                if other < j_end - 1 and b[other] == a[high]:
+                    todo.append((high + 1, i_end, other + 1, j_end))
+                    todo.append((i, high + 1, j, other + 1))
+                    break
+            low -= 1
+            if low < i and high >= i_end - 1:
+                groups.append(interval)
+                break
     return groups
 
 
@@ -120,6 +131,11 @@ class Coders:
             bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(MARK, " ").encode() for i, name in enumerate(names)
         ]
         self.blank = self.b.piece_to_id(MARK)
+        self.sizes = [np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
+        # Ids as text with what follows them: inside a group, and at the end of its side.
+        named = lambda n, sign: np.array([b"%d%s" % (i, sign) for i in range(n)], object)
+        self.inner = [named(len(own), b",") for own in (self.a_bytes, self.b_bytes)]
+        self.last = [named(len(self.a_bytes), b"|"), named(len(self.b_bytes), b";")]
 
     def encode(self, given: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for strings that begin with a blank."""
@@ -129,15 +145,10 @@ class Coders:
         b = self.b.encode([x[1:] for x in given], num_threads=1)  # it adds the first blank itself, but not to nothing
         return [(x, y if s != " " else [self.blank]) for x, y, s in zip(a, b, given, strict=True)]
 
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[tuple[int, int, int, int]] | None:
-        """Groups of the ids, or nothing if either does not give the bytes of the text."""
+    def gives(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Do the ids of both give the bytes of the text?"""
         raw = text.encode()
-        pieces, others = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(pieces) != raw or b"".join(others) != raw:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return [(0, len(a), 0, len(b))]
-        return align(list(accumulate(map(len, pieces))), list(accumulate(map(len, others))))
+        return b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
 
 
 @cache
@@ -150,25 +161,72 @@ class Stretch:
 
     __slots__ = ("pairs", "sizes", "text", "times")
 
-    def __init__(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> None:
-        if len(groups) == 1 and len(a) == 1 and len(b) == 1:
-            pairs = {a[0] << 32 | b[0]: 1}
-            links = 1
-        else:
-            pairs, links = Counter(), 0
-            for i, i_end, j, j_end in groups:
-                links += (i_end - i) * (j_end - j)
-                if i_end - i == 1 or j_end - j == 1:
-                    pairs.update([x << 32 | y for x in a[i:i_end] for y in b[j:j_end]])
-                    continue
-                right = Counter(b[j:j_end])
-                for x, n in Counter(a[i:i_end]).items():
-                    for y, m in right.items():
-                        pairs[x << 32 | y] += n * m
-        self.sizes = (len(a), len(b), len(groups), links)
-        self.text = ";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:l]))}" for i, k, j, l in groups]).encode()
-        self.pairs = np.fromiter(pairs, np.int64, len(pairs)).tobytes()
-        self.times = np.fromiter(pairs.values(), np.int64, len(pairs)).tobytes()
+    def __init__(self, sizes: tuple[int, int, int, int], text: bytes, pairs: bytes, times: bytes) -> None:
+        self.sizes, self.text, self.pairs, self.times = sizes, text, pairs, times
+
+
+def _expand(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """firsts[0], firsts[0] + 1, ... for as many as counts[0], and so on."""
+    ahead = np.cumsum(counts) - counts
+    return np.repeat(firsts - ahead, counts) + np.arange(counts.sum())
+
+
+def _pairs(groups: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, pair, times) of the links of groups, each (number, pair) once, in order."""
+    i, i_end, j, j_end = groups.T
+    links = (i_end - i) * (j_end - j)
+    small = links <= WIDE
+    at = _expand(np.zeros(small.sum(), np.int64), links[small])
+    width = np.repeat((j_end - j)[small], links[small])
+    left, right = np.repeat(i[small], links[small]) + at // width, np.repeat(j[small], links[small]) + at % width
+    keys, pairs, times = [np.repeat(of[small], links[small])], [a[left] << 32 | b[right]], [np.ones(len(at), np.int64)]
+    for g in np.flatnonzero(~small):  # long groups: distinct ids of each side with how often
+        (x, n), (y, m) = (np.unique(side, return_counts=True) for side in (a[i[g] : i_end[g]], b[j[g] : j_end[g]]))
+        pairs.append((x[:, None] << 32 | y[None]).ravel())
+        times.append((n[:, None] * m[None]).ravel())
+        keys.append(np.full(len(x) * len(y), of[g]))
+    key, pair, count = (np.concatenate(x) for x in (keys, pairs, times))
+    order = np.lexsort((pair, key))
+    key, pair, count = key[order], pair[order], count[order]
+    heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])][: len(key)])
+    return key[heads], pair[heads], np.add.reduceat(count, heads)
+
+
+def aligned_stretches(both: Coders, given: list[str]) -> list[Stretch | None]:
+    """Each stretch encoded and aligned; nothing where a tokenizer does not give its bytes back."""
+    coded = both.encode(given)
+    good = [both.gives(s, *ids) for s, ids in zip(given, coded, strict=True)]
+    kept = [ids for ids, fine in zip(coded, good, strict=True) if fine]
+    if not kept:
+        return [None] * len(given)
+    flat = [np.fromiter(chain.from_iterable(ids[n] for ids in kept), np.int64) for n in (0, 1)]
+    counts = [np.array([len(ids[n]) for ids in kept]) for n in (0, 1)]
+    upto = [np.cumsum(c) for c in counts]
+    # Neighbouring stretches follow each other in one string of bytes, so ends rise through all of them.
+    ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(both.sizes, flat, strict=True)]
+    starts = [*zip((upto[0] - counts[0]).tolist(), upto[0].tolist(), (upto[1] - counts[1]).tolist(), upto[1].tolist(), strict=True)]
+    groups = np.array(align(*ends, starts), np.int64)
+    of = np.searchsorted(upto[0], groups[:, 0], side="right")
+    # The text of the groups: ids of the first side, then of the second, group after group.
+    text = np.empty(len(flat[0]) + len(flat[1]), object)
+    sides = groups[:, :2], groups[:, 2:]
+    for n, (side, ahead) in enumerate(zip(sides, (groups[:, 2], groups[:, 1]), strict=True)):
+        place = np.arange(len(flat[n])) + np.repeat(ahead, side[:, 1] - side[:, 0])
+        text[place] = both.inner[n][flat[n]]
+        final = side[:, 1] - 1
+        text[place[final]] = both.last[n][flat[n][final]]
+    text = text.tolist()
+    key, pairs, times = _pairs(groups, of, *flat)
+    borders = np.searchsorted(key, np.arange(len(kept) + 1)).tolist()
+    n_groups = np.bincount(of, minlength=len(kept))
+    n_links = np.bincount(of, (groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2]), len(kept)).astype(np.int64)
+    sizes = zip(counts[0].tolist(), counts[1].tolist(), n_groups.tolist(), n_links.tolist(), strict=True)
+    made = []
+    for row, ((i, i_end, j, j_end), own) in enumerate(zip(starts, sizes, strict=True)):
+        part = slice(borders[row], borders[row + 1])
+        made.append(Stretch(own, b"".join(text[i + j : i_end + j_end])[:-1], pairs[part].tobytes(), times[part].tobytes()))
+    rest = iter(made)
+    return [next(rest) if fine else None for fine in good]
 
 
 class Numbers(dict):
@@ -182,11 +240,9 @@ class Numbers(dict):
 def _known(both: Coders, kept: dict[str, Stretch | None], wanted: list[str]) -> list[Stretch | None]:
     fresh = [s for s in wanted if s not in kept]
     made = {}
-    for low in range(0, len(fresh), 4096):
-        part = fresh[low : low + 4096]
-        for s, (a, b) in zip(part, both.encode(part), strict=True):
-            groups = both.groups(s, a, b)
-            made[s] = None if groups is None else Stretch(a, b, groups)
+    for low in range(0, len(fresh), BATCH):
+        part = fresh[low : low + BATCH]
+        made.update(zip(part, aligned_stretches(both, part), strict=True))
     found = [made[s] if s in made else kept[s] for s in wanted]
     for s, stretch in made.items():
         if len(kept) >= KEPT:
@@ -201,12 +257,6 @@ def _sums(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][ends])
 
 
-def _expand(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """firsts[0], firsts[0] + 1, ... for as many as counts[0], and so on."""
-    ahead = np.cumsum(counts) - counts
-    return np.repeat(firsts - ahead, counts) + np.arange(counts.sum())
-
-
 COLUMNS = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times", "pairs", "holders"]
 LINKED = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -218,17 +268,13 @@ def _block(both: Coders, kept: dict, number: int, ids: list, numbers: Numbers, h
     """The documents of a block, given as numbers of stretches, and the block's list of pairs."""
     found = _known(both, kept, list(numbers))
     bad = np.array([s is None for s in found], bool)
-    good = [s for s in found if s is not None]
     names = list(numbers)
     for doc, codes in enumerate(held):
         if bad[codes].any():  # a stretch fails; so does the text, unless the whole is given back after all
             text = "".join([names[c] for c in codes])
-            a, b = both.encode([text])[0]
-            groups = both.groups(text, a, b)
-            held[doc] = np.zeros(0, np.int32)
-            if groups is not None:
-                held[doc] = np.array([len(found)], np.int32)
-                found.append(Stretch(a, b, groups))
+            whole = aligned_stretches(both, [text])[0]
+            held[doc] = np.array([len(found)] if whole else [], np.int32)
+            found += [whole] if whole else []
     good = [s for s in found if s is not None]
     place = np.cumsum([s is not None for s in found]) - 1
     ends = np.r_[0, np.cumsum([len(c) for c in held])]
@@ -319,7 +365,9 @@ def aligned(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
                 found = []
                 if text:
                     a, b = both.encode([" " + text])[0]
-                    found = [{"a": a[i:k], "b": b[j:l]} for i, k, j, l in both.groups(" " + text, a, b) or []]
+                    if both.gives(" " + text, a, b):
+                        ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(both.sizes, (a, b), strict=True)]
+                        found = [{"a": a[i:k], "b": b[j:l]} for i, k, j, l in align(*ends)]
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "groups"])
 
