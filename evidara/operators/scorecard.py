@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from evidara.functions import text as X
 from evidara.functions import values as W
 from evidara.functions.evidence import page_features, supported
+from evidara.operators.containment import holders
 from evidara.operators.graph import edge_record
 
-TERMS_PER_PASS = 5000
-
 
 # -- evidence ------------------------------------------------------------------
 def evidence_match(evidence: DataFrame, pages: DataFrame) -> DataFrame:
@@ -49,41 +47,22 @@ def _combined(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def constant_arrays(table: DataFrame, key: str, columns: Sequence[str], per_pass: int = TERMS_PER_PASS) -> list[Column]:
-    """The rows of a small table as constant arrays of structs, at most about ``per_pass`` rows each.
-
-    The row count is checked: a larger table gives more arrays, hence more passes over
-    whatever is compared with it, and no single array grows with the table.
-    """
-    passes = max(1, -(-table.count() // per_pass))
-    arrays = []
-    for number in range(passes):
-        share = table.where(F.pmod(F.xxhash64(key), F.lit(passes)) == number) if passes > 1 else table
-        arrays.append(share.agg(F.collect_list(F.struct(*columns))).scalar())
-    return arrays
-
-
 def present_terms(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct terms that occur in any text; texts are scanned without a shuffle."""
-    wanted = terms.select("term").distinct().withColumn("normal", X.normalise("term"))
-    haystack = X.normalise(F.coalesce(F.col(text), F.lit("")))
-    found = []
-    for array in constant_arrays(wanted, "term", ["term", "normal"]):
-        hits = F.filter(F.col("_terms"), lambda t: F.contains(F.col("_hay"), t["normal"]))
-        scanned = texts.select(haystack.alias("_hay"), array.alias("_terms"))
-        found.append(scanned.select(F.explode(hits).alias("hit")).select("hit.term").distinct())
-    return reduce(DataFrame.unionByName, found)
+    """Distinct terms whose normal form occurs in the normal form of any text."""
+    wanted = terms.select("term").distinct().withColumn("_normal", X.normalise("term"))
+    # A hit is confirmed in a text, so a shared hash can only make two texts one candidate.
+    hay = texts.select(X.normalise(F.coalesce(F.col(text), F.lit(""))).alias("_hay"))
+    found = holders(hay.withColumn("_id", F.xxhash64("_hay")), ["_id"], F.col("_hay"), wanted, F.col("_normal"))
+    return wanted.join(found.select(F.col("string").alias("_normal")), "_normal", "left_semi").select("term")
 
 
 def literal_holders(texts: DataFrame, items: DataFrame, keys: Sequence[str], item_key: str) -> DataFrame:
-    """(keys, item) for every text that literally holds an item's normal or compact form."""
-    forms = items.select(item_key, X.compact("text").alias("c"), X.normalise("text").alias("n"))
-    found = []
-    for array in constant_arrays(forms, item_key, [item_key, "c", "n"]):
-        scanned = texts.select(*keys, X.compact("text").alias("_c"), X.normalise("text").alias("_n"), array.alias("_items"))
-        held = F.filter("_items", lambda i: F.contains(F.col("_c"), i["c"]) | F.contains(F.col("_n"), i["n"]))
-        found.append(scanned.select(*keys, F.explode(held).alias("i")).select(*keys, f"i.{item_key}"))
-    return reduce(DataFrame.unionByName, found)
+    """(keys, item) for every text that literally holds an item's normal or compact form.
+
+    Where a normal form is held the compact form is held too, so the compact one decides.
+    """
+    forms = items.select(item_key, X.compact("text").alias("string"))
+    return holders(texts, keys, X.compact("text"), forms, F.col("string")).join(forms, "string").select(*keys, item_key)
 
 
 # -- single checks -------------------------------------------------------------

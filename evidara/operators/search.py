@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from evidara.functions import text as X
 from evidara.functions import vocab as V
 from evidara.functions.ordering import top_rows
+from evidara.operators import postings
+from evidara.session import settle
 
 
 # -- lexical -------------------------------------------------------------------
@@ -38,83 +40,6 @@ def inverse_document_frequencies(chunks: DataFrame, text: str = "text") -> DataF
     return document_frequencies(chunks, text=text).select("term", "df", idf(F.col("df"), total).alias("idf"))
 
 
-def lexical_scores(
-    chunks: DataFrame,
-    queries: DataFrame,
-    query_key: str = "query_id",
-    chunk_columns: Sequence[str] = ("chunk_id", "document"),
-) -> DataFrame:
-    """(query, chunk columns, score) for all pairs with a positive score.
-
-    ``chunks``: chunk_columns (an identifying column and the file name ``document``) and
-    text.  ``queries``: query_key, query; a term counts as often as the query repeats it.
-
-    Words (with their next word) and file-name words of a chunk are exploded in one pass
-    and meet the query vocabulary before anything is counted, so the one large shuffle
-    carries matching features only.  It is used twice: for document frequencies and for
-    scores.  ``chunk_columns`` must start with the identifying column.
-    """
-    columns = list(chunk_columns)
-    terms = queries.select(query_key, X.query_terms("query").alias("_terms"))
-    asked = F.concat(
-        _features("word", F.col("_terms")), _features("name", F.col("_terms")), _features("pair", X.bigrams("_terms"))
-    )
-    wanted = (
-        terms.select(query_key, F.inline(asked)).groupBy(query_key, "kind", "feature").agg(F.count("*").alias("weight"))
-    )
-    vocabulary = wanted.select("kind", "feature").distinct()
-
-    tokens = chunks.select(*columns, X.search_tokens("text").alias("_word"))
-    ahead = tokens.withColumn("_next", F.slice("_word", F.lit(2), F.greatest(F.size("_word"), F.lit(1))))
-    names = F.transform(
-        F.array_distinct(X.search_tokens("document")),
-        lambda x: F.struct(x.alias("_word"), F.lit(IN_NAME).alias("_next")),
-    )
-    steps = ahead.select(*columns, F.inline(F.concat(F.arrays_zip("_word", "_next"), names)))
-    named = F.array(_feature("name", F.col("_word")))
-    spoken = F.array(_feature("word", F.col("_word")), _feature("pair", F.concat("_word", F.lit(" "), "_next")))
-    postings = (
-        steps.select(*columns, F.inline(F.when(F.col("_next") == IN_NAME, named).otherwise(spoken)))
-        .join(vocabulary, ["kind", "feature"], "left_semi")
-        # Partitioned by chunk, the counts, the weights and the scores need no further exchange.
-        .repartition(columns[0])
-        .groupBy(*columns, "kind", "feature")
-        .agg(F.count("*").alias("tf"))
-    )
-    total = chunks.agg(F.count("*")).scalar()
-    frequencies = (
-        postings.where(F.col("kind") == "word")
-        .groupBy("feature")
-        .agg(F.count("*").alias("_df"))
-        .select("feature", idf(F.col("_df"), total).alias("idf"))
-    )
-    weights = wanted.join(frequencies, "feature", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    identifier = F.when(X.is_identifier_term("feature"), V.IDENTIFIER_WEIGHT).otherwise(0.0)
-    value = (
-        F.when(F.col("kind") == "word", (1 + F.log("tf")) * F.col("idf") + identifier)
-        .when(F.col("kind") == "name", V.FILENAME_WEIGHT * F.col("idf"))
-        .otherwise(V.BIGRAM_WEIGHT)
-    )
-    return (
-        postings.join(weights, ["kind", "feature"])
-        .groupBy(query_key, *columns)
-        .agg(F.round(F.sum(F.col("weight") * value), 6).alias("score"))
-        .where(F.col("score") > 0)
-    )
-
-
-# Stands in for the next word of a file-name word, which no text token can equal.
-IN_NAME = "\0"
-
-
-def _feature(kind: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.alias("feature"))
-
-
-def _features(kind: str, items: Column) -> Column:
-    return F.transform(items, lambda x: _feature(kind, x))
-
-
 def lexical_top_k(
     chunks: DataFrame,
     queries: DataFrame,
@@ -124,12 +49,10 @@ def lexical_top_k(
 ) -> DataFrame:
     """The k best chunks per query; ties by document, page, chunk index.
 
-    Scores travel with the sort columns only; text can be joined to the k hits.
+    An index is built for this search; keep one by ``postings.create`` where more searches follow.
     """
-    columns = [chunk_key, "document", "page", "chunk_index"]
-    scores = lexical_scores(chunks, queries, query_key, columns)
-    order = [F.desc("score"), F.col("document"), F.col("page"), F.col("chunk_index")]
-    return top_rows(scores, [query_key], order, k)
+    index = settle(postings.build(chunks, [chunk_key, "document", "page", "chunk_index"]))
+    return postings.top_k(index, queries, k, query_key)
 
 
 # -- vectors -------------------------------------------------------------------
