@@ -31,7 +31,7 @@ from evidara.functions import vocab as V
 from evidara.functions.ordering import top_rows
 from evidara.session import settle
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 QUERY_BLOCK = 1_000
 CHUNK = ("chunk_id", "document", "page", "chunk_index")
 # Scores are compared after rounding to six digits; bounds keep clear of that.
@@ -170,9 +170,13 @@ class Block:
 
     def pair(self, left: str, right: str) -> np.ndarray:
         """Chunks in which the second term follows the first."""
+        if (left, right) in self.found:
+            return self.found[left, right]
         after, other = self.positions[left] + 1, self.positions[right]
         at = np.minimum(np.searchsorted(other, after), len(other) - 1)
-        return np.unique(np.searchsorted(self.starts, self.positions[left][other[at] == after], side="right") - 1)
+        chunk = np.searchsorted(self.starts, self.positions[left][other[at] == after], side="right") - 1
+        found = self.found[left, right] = chunk[np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)]]
+        return found
 
     def search(self, words: dict[str, tuple[float, float, float]], pairs: list[tuple[str, str, float]], k: int) -> list[tuple[int, float]]:
         """(chunk, score) of the k best; words: term -> (weight, idf, what an identifier adds)."""
@@ -185,10 +189,10 @@ class Block:
         left, rest = sum(held.values()), set(order)
         open_ = True  # can an unseen chunk still come in?
         for t in order:
-            if open_ and seen.sum() >= k:
+            if open_ and left < scores.max(initial=0.0):
                 bound = left + sum(n for a, b, n in together if a in rest and b in rest)
-                floor = np.partition(scores[seen], seen.sum() - k)[seen.sum() - k]
-                open_ = bound + MARGIN >= floor
+                # Fewer than k scores above the bound: an unseen chunk may still come in.
+                open_ = np.count_nonzero(scores > bound + MARGIN) < k
             weight, idf, more = words[t]
             chunk, tf = self.term(t)
             if not open_:
@@ -226,7 +230,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, query_key: str = "query_
     held = index.where("term IS NOT NULL").join(vocabulary, "term", "left_semi")
     blocks = index.where("term IS NULL")
     counted = blocks.agg(F.count("*").alias("blocks"), F.sum(F.size("chunks")).alias("n")).first()
-    slots, total = max(1, counted["blocks"]), counted["n"] or 0
+    # More slots than blocks, so that few of them share one.
+    slots, total = max(1, 4 * counted["blocks"]), counted["n"] or 0
     frequencies = held.groupBy("term").agg((F.log(F.lit(total + 1.0) / (F.sum("df") + 1)) + 1).alias("idf"))
     more = F.when(X.is_identifier_term("term"), V.IDENTIFIER_WEIGHT).otherwise(0.0)
     weighed = words.join(frequencies, "term", "left").groupBy("_query").agg(
