@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "lookup_queries", "ingest_queries", "evidence_queries", "graph_queries", "scorecard_queries")
+MODULES = ("text_queries", "lookup_queries", "ingest_queries", "evidence_queries", "graph_queries", "scorecard_queries", "evaluation_queries")
 
 
 def load():
