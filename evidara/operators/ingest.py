@@ -123,12 +123,12 @@ def chunk_pages(
     total over pages (in bounded blocks of pages) and the windows are sliced in place.
     """
     step = max(size - overlap, 1)
-    words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
-    count = F.size("_words")
+    count = F.when(F.col("_text") == "", 0).otherwise(F.size(F.split("_text", " ")))
     windows = F.when(count == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((count - size) / step) + 1))
-    counted = pages.withColumn("_words", words).withColumn("_windows", windows.cast("bigint"))
-    numbered = running_total(counted.drop(text), keys, page, "_windows", "_first")
-    exploded = numbered.where(F.col("_windows") > 0).withColumn(
+    # The text travels as one string, which is a third of its words as an array.
+    counted = pages.withColumn("_text", squeeze(text)).withColumn("_windows", windows.cast("bigint"))
+    numbered = running_total(counted.drop(text), keys, page, "_windows", "_first").where(F.col("_windows") > 0)
+    exploded = numbered.withColumn("_words", F.split("_text", " ")).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), F.col("_windows") - 1))
     )
     kept = [c for c in pages.columns if c not in (*keys, page, text)]

@@ -1,12 +1,13 @@
 """A stored inverted index over retrieval chunks, and exact top-k search in it.
 
 Chunks are read once, in blocks of about ``BLOCK_TOKENS`` tokens in the order of the scan, without a
-shuffle.  A block is a row for each of its terms (positions of the term in the block's tokens, in how many
-chunks it occurs, its greatest frequency in a chunk) and one row, without a term, for its chunks.  Chunks that come later are
-further blocks of a new generation; weights follow from the sums over all blocks, so searching after an addition
+shuffle.  A block is a row for each bucket of its terms and one row, without a bucket, for its chunks.  A bucket
+holds, compressed, for each of its terms the positions in the block's tokens, in how many chunks it occurs and its greatest
+frequency in a chunk.  Chunks that come later are further blocks of a new generation; weights follow from the sums over all blocks, so searching after an addition
 equals searching a rebuilt index.
 
-A search meets blocks and queries in bounded groups.  Inside a block the terms of a query are taken by
+A search opens the buckets of its terms and takes what a bitmap of fixed size lets pass (all of its terms, and few others, which match
+nothing).  It meets blocks and queries in bounded groups.  Inside a block the terms of a query are taken by
 falling bound (the score the term can add, from its greatest frequency).  Once what is left to be added cannot lift an unseen chunk to
 the k-th score, the remaining, common terms are looked up for the chunks seen so far only.
 """
@@ -15,11 +16,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from evidara.functions.ordering import top_rows
 from evidara.session import settle
 
 BLOCK_TOKENS = 500_000
+BUCKETS = 16
+BITS = 23
 QUERY_BLOCK = 1_000
 CHUNK = ("chunk_id", "document", "page", "chunk_index")
 # Scores are compared after rounding to six digits; bounds keep clear of that.
@@ -46,12 +51,51 @@ class Numbers(dict):
         return number
 
 
+POSTINGS = ["term", "df", "max_tf", "positions"]
+OPENED = "block string, term string, df long, max_tf int, positions array<int>"
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """Rows of a bucket as one compressed value."""
+    out = pa.BufferOutputStream()
+    # Written from a table, so that a slice takes its own rows along only.
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows.take(pa.array(range(rows.num_rows))))
+    return out.getvalue().to_pybytes()
+
+
+def opened(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """block, term, df, max_tf, positions: the postings of the terms of ``vocabulary`` (and of few others)."""
+    hashed = F.crc32(F.col("term").cast("binary"))
+    place = hashed.bitwiseAND(F.lit((1 << BITS) - 1)).alias("p")
+    rows = vocabulary.select(place, (hashed % BUCKETS).cast("int").alias("bucket"))
+    made = rows.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bitmap = np.zeros((1 << BITS) // 8 + 8192, np.uint8)
+    for row in made.collect():  # at most 2 ** BITS / 32768 + 1 pieces
+        bitmap[row["b"] * 4096 : (row["b"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+    given = bitmap.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(given, np.uint8), bitorder="little")
+        # Place 0 is the first bit, place p > 0 is bit p - 1 of what follows the first 32768.
+        flags = bytes(np.concatenate([bits[:1], bits[32768 : 32768 + (1 << BITS)]]))
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks()
+                fit = [bool(flags[zlib.crc32(t.encode()) & ((1 << BITS) - 1)]) for t in own.column("term").to_pylist()]
+                for part in own.filter(pa.array(fit, pa.bool_())).combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows, pa.string()), *part.columns], ["block", *POSTINGS])
+
+    return index.where(F.col("bucket").isin(buckets)).select("block", "terms").mapInArrow(run, OPENED)
+
+
 def _schema(chunks: DataFrame, columns: Sequence[str]) -> T.StructType:
     own = T.StructType([T.StructField(c, chunks.schema[c].dataType) for c in columns])
     return T.StructType(
         [
-            T.StructField("generation", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("term", T.StringType()),
-            T.StructField("df", T.LongType()), T.StructField("max_tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())),
+            T.StructField("generation", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()),
+            T.StructField("max_tf", T.IntegerType()), T.StructField("terms", T.BinaryType()),
             T.StructField("chunks", T.ArrayType(own)), T.StructField("starts", T.ArrayType(T.IntegerType())),
         ]
     )
@@ -68,10 +112,11 @@ def build(chunks: DataFrame, columns: Sequence[str] = CHUNK, text: str = "text",
         size = np.array(sizes, np.int64)
         # One place between neighbouring chunks is left free, so pairs of words never reach across.
         starts = np.cumsum(size + 1) - size - 1
-        terms = np.array(list(numbers), object)
-        by_name = np.argsort(terms) if len(terms) else np.zeros(0, np.int64)
+        terms = list(numbers)
+        bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in terms], np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
         rank = np.empty(len(terms), np.int64)
-        rank[by_name] = np.arange(len(terms))
+        rank[by_bucket] = np.arange(len(terms))
         code = rank[np.array(codes, np.int64)]
         chunk = np.repeat(np.arange(len(size)), size)
         order = np.argsort(code, kind="stable")
@@ -80,22 +125,21 @@ def build(chunks: DataFrame, columns: Sequence[str] = CHUNK, text: str = "text",
         heads = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])][: len(code)])
         tf = np.diff(np.append(heads, len(code)))
         df = np.bincount(code[heads], minlength=len(terms))
-        most = np.maximum.reduceat(tf, np.cumsum(df) - df) if len(terms) else tf
+        most = np.maximum.reduceat(tf, np.cumsum(df) - df).astype(np.int32) if len(terms) else tf
         ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms)))).astype(np.int32)
-        n = len(terms)
-        names = pa.array([name], pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, generation, np.int32)), pa.array([name] * n, pa.string()), pa.array(terms[by_name], pa.string()), pa.array(df, pa.int64()),
-                pa.array(most, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(position), type=arrow.field("positions").type), pa.nulls(n, arrow.field("chunks").type), pa.nulls(n, arrow.field("starts").type),
-            ],
-            schema=arrow,
-        )
-        whole = pa.ListArray.from_arrays(pa.array([0, len(infos)], pa.int32()), infos, type=arrow.field("chunks").type)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(position))
+        held = pa.RecordBatch.from_arrays([pa.array([terms[i] for i in by_bucket], pa.string()), pa.array(df, pa.int64()), pa.array(most, pa.int32()), lists], POSTINGS)
+        borders = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
+        used = [n for n in range(BUCKETS) if borders[n] < borders[n + 1]]
+        parts = [_packed(held.slice(borders[n], borders[n + 1] - borders[n])) for n in used]
+        tops = [int(most[borders[n] : borders[n + 1]].max()) for n in used]
+        n = len(used)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([generation], pa.int32()), names, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
-                pa.nulls(1, arrow.field("positions").type), whole, pa.array([starts.astype(np.int32)], arrow.field("starts").type),
+                pa.array([generation] * (n + 1), pa.int32()), pa.array([name] * (n + 1), pa.string()), pa.array([*used, None], pa.int32()),
+                pa.array([*tops, None], pa.int32()), pa.array([*parts, None], pa.binary()),
+                pa.concat_arrays([pa.nulls(n, arrow.field("chunks").type), pa.ListArray.from_arrays(pa.array([0, len(infos)], pa.int32()), infos, type=arrow.field("chunks").type)]),
+                pa.array([None] * n + [starts.astype(np.int32)], arrow.field("starts").type),
             ],
             schema=arrow,
         )
@@ -129,14 +173,15 @@ def create(chunks: DataFrame, path: str, columns: Sequence[str] = CHUNK) -> None
 def add(chunks: DataFrame, path: str, columns: Sequence[str] = CHUNK) -> None:
     """Index further chunks as a new generation beside the stored ones."""
     spark = chunks.sparkSession
-    last = spark.read.parquet(path).where("term IS NULL").agg(F.max("generation")).first()[0]
+    last = spark.read.parquet(path).where("bucket IS NULL").agg(F.max("generation")).first()[0]
     build(chunks, columns, generation=0 if last is None else last + 1).write.mode("append").parquet(path)
 
 
-def inverse_document_frequencies(index: DataFrame) -> DataFrame:
-    """(term, df, idf) over all blocks."""
-    total = index.where("term IS NULL").agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).scalar()
-    summed = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
+def inverse_document_frequencies(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, df, idf) over all blocks for the terms of ``vocabulary`` that occur."""
+    total = index.where("bucket IS NULL").agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).scalar()
+    wanted = vocabulary.select("term").distinct()
+    summed = opened(index, wanted).groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
     return summed.select("term", "df", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
@@ -227,8 +272,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, query_key: str = "query_
     asked = settle(asked.withColumn("_query", F.monotonically_increasing_id()))
     words = asked.select("_query", F.explode("_terms").alias("term")).groupBy("_query", "term").agg(F.count("*").alias("weight"))
     vocabulary = words.select("term").distinct()
-    held = index.where("term IS NOT NULL").join(vocabulary, "term", "left_semi")
-    blocks = index.where("term IS NULL")
+    held = settle(opened(index, vocabulary))
+    blocks = index.where("bucket IS NULL")
     counted = blocks.agg(F.count("*").alias("blocks"), F.sum(F.size("chunks")).alias("n")).first()
     # More slots than blocks, so that few of them share one.
     slots, total = max(1, 4 * counted["blocks"]), counted["n"] or 0
@@ -241,7 +286,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, query_key: str = "query_
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = full.withColumn("_group", F.pmod(F.hash("_key", "_terms"), F.lit(groups))).withColumn("_slot", every(slots))
-    right = held.unionByName(blocks).select("block", "term", "max_tf", "positions", "chunks", "starts")
+    right = held.drop("df").unionByName(blocks.select("block", "chunks", "starts"), allowMissingColumns=True)
     right = right.withColumn("_in", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).withColumn("_of", every(groups))
     schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), *chunk.fields, T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
