@@ -39,6 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,27 +180,37 @@ def dropped(docs: DataFrame) -> DataFrame:
     return gone.select("key", "doc_id", places.alias("pos")).groupBy("key", "doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _pressed(text: pd.Series) -> pd.Series:
+    """Texts compressed one by one, as they travel to what they lose."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    return pd.Series([None if x is None else press(x.encode("utf-8", "surrogatepass")) for x in text], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """The text without the non-empty lines at given positions; null where nothing goes."""
+def _without(pressed: pd.Series, gone: pd.Series) -> pd.Series:
+    """Compressed texts without the non-empty lines at given positions (null: none)."""
+    unpress = zstandard.ZstdDecompressor().decompress
 
-    def cut(whole: str | None, places) -> str | None:
-        if whole is None:
+    def cut(data: bytes | None, places) -> str | None:
+        if data is None:
             return None
-        away = set(places)
-        # ASCII blanks only, as in ``entries``.
-        return "\n".join(line for i, line in enumerate(whole.split("\n")) if i not in away or not line.strip(" \t\r\x0b\x0c"))
+        whole = unpress(data)
+        if places is not None:
+            away = set(places)
+            whole = b"\n".join(line for i, line in enumerate(whole.split(b"\n")) if i not in away or not line.strip())
+        return whole.decode("utf-8", "surrogatepass")
 
-    return pd.Series([cut(a, b) for a, b in zip(text, gone, strict=True)], dtype=object)
+    return pd.Series([cut(a, b) for a, b in zip(pressed, gone, strict=True)], dtype=object)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that repeat what recurs; all columns are kept."""
     gone = dropped(docs.select("doc_id", "text"))
-    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    own = docs.select(whole.alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", "text").alias("own_key"))
+    others = F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "text"])
+    own = docs.select(
+        others.alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", "text").alias("own_key"), _pressed("text").alias("pressed")
+    )
     both = own.join(gone, (F.col("own_key") == F.col("key")) & (F.col("own_id") == F.col("doc_id")), "left")
-    given = F.col("row").getField("text")
-    left = _without(F.when(F.col("gone").isNotNull(), given), F.col("gone"))
-    kept = [F.coalesce(left, given) if name == "text" else F.col("row").getField(name) for name in docs.columns]
+    kept = [_without("pressed", "gone") if name == "text" else F.col("row").getField(name) for name in docs.columns]
     return both.select(*[column.alias(name) for column, name in zip(kept, docs.columns, strict=True)])
