@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.session import settle, tune
 
-__all__ = ["bucket_of", "read", "session", "settle", "sized", "texts"]
+__all__ = ["bucket_of", "numbered", "read", "session", "settle", "sized", "texts", "unused"]
 
 # Rows per Arrow batch: whole texts travel, so a batch is kept short.
 BATCH_ROWS = 256
@@ -40,3 +40,16 @@ def bucket_of(column: Column | str, modulus: int) -> Column:
 def sized(rows: int, per_part: int, least: int = 1) -> int:
     """Number of parts that follows the rows counted."""
     return max(least, -(-int(rows) // per_part))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so (in any case of letters)."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by number: ``mapInArrow`` takes no name with a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evidara.llm.base import numbered
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "postal")
 BASE = KINDS[:4]
 SCHEMES = ("https://", "http://", "ftp://")
@@ -174,13 +176,13 @@ def mask(text: str) -> str:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all other columns as they are."""
+    place, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
             clean = [None if text is None else mask(text) for text in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(clean, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.base import bucket_of
+from evidara.llm.base import bucket_of, numbered
 
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, LEAST = 48, 80, 4, 0.15, 30.0
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, forest: Forest, column: str = "_quality_score") -> D
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
-    return docs.mapInArrow(_add_score(forest, names, docs.columns.index("text")), schema)
+    return numbered(docs).mapInArrow(_add_score(forest, names, docs.columns.index("text")), schema)
 
 
 def held_out(doc_id) -> object:

@@ -66,3 +66,18 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), FOLDER).collect() == [], name
     assert corpus_pipeline.pack(spark, docs.limit(0), FOLDER).collect() == []
     assert simhash.heads(docs.limit(0).select("doc_id", "text")).collect() == []
+
+
+def test_clashing_names_and_maps(spark):
+    names = ["_quality_score", "_hash", "_id", "_nth", "nth", "row", "rest", "id", "hash", "root", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", notes map<string,string>"
+    words = "plain words of a quiet text that tells of rivers and of hills and of the people there"
+    rows = [(i, f"{words} {'abc'[i % 3] * 9}", *[f"{n}{i}" for n in names], {"k": str(i)}) for i in range(3)] + [(0, f"{words} {'a' * 9}", *["z"] * len(names), {})]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, FOLDER)
+        assert made.schema.names == docs.schema.names
+        got = {(r.doc_id, r._id): r for r in made.collect()}
+        assert all(r.notes == ({"k": str(i)} if own != "z" else {}) and r["a.b"] == ("z" if own == "z" else f"a.b{i}") for (i, own), r in got.items())
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert [r._nth for r in kept if r.doc_id == 0] == ["_nth0"]
