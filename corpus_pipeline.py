@@ -6,7 +6,8 @@ last return the columns of ``documents``; the last returns packed pieces.
 
 Odd rows: a null text counts as empty in every stage and stays null; rows with a null doc_id are
 treated like others, only line dedup leaves them as they are and near-duplicates prefers rows
-with an id; repeated rows are near-duplicates of each other; an empty table goes through.
+with an id; repeated rows are near-duplicates of each other (of rows with equal id and text, the one whose other columns come
+first as JSON stays); an empty table goes through; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.llm import lines, packing, personal, quality, simhash
-from evidara.llm.base import read, session, texts
+from evidara.llm.base import read, session, texts, unused
 from evidara.session import shared_folder
 
 # A document goes if its quality score is below this.
@@ -30,8 +31,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier, trained on all labels, does not reject."""
     session(spark)
     forest = quality.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    kept = quality.scored(docs, forest).where(F.col("_quality_score") >= LEAST_QUALITY)
-    return kept.select(*docs.columns)
+    score = unused("_quality_score", docs)
+    kept = quality.scored(docs, forest, score).where(F.col(score) >= LEAST_QUALITY)
+    return kept.drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +46,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group: the one with the smallest id (of equal ids, the smallest hash)."""
     session(spark)
     heads = simhash.heads(texts(docs), "_hash").withColumnRenamed("doc_id", "_id")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    kept = docs.join(heads, own, "left_semi")
-    # Equal rows are told apart by their number only.
-    equal = Window.partitionBy("doc_id", text_hash).orderBy(*docs.columns)
-    return kept.withColumn("_nth", F.row_number().over(equal)).where("_nth = 1").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    rest = F.struct(F.lit(0), *[F.col(f"`{name}`") for name in docs.columns if name not in ("doc_id", "text")])
+    # Equal ids and texts are told apart by their other columns; as JSON, as maps have no order.
+    own = docs.select(
+        row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+        F.to_json(rest).alias("rest"),
+    )
+    kept = own.join(heads, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    equal = Window.partitionBy("id", "hash").orderBy("rest")
+    kept = kept.withColumn("nth", F.row_number().over(equal)).where("nth = 1")
+    return kept.select(*[F.col("row").getField(name).alias(name) for name in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
