@@ -1,12 +1,13 @@
 """Table maintenance without row updates.
 
-Derived tables are append-only with a ``run_id`` partition; publishing a run is one row
-in the run log.  Readers follow the latest complete run of each workspace, so a failed
+Derived tables are append-only with a partition for each run and attempt; a manifest names the attempt that
+counts, and publishing a run is one row in the run log.  Readers follow the latest complete run of each workspace, so a failed
 run leaves the old state and an empty result replaces the old one like any other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +91,23 @@ def truncate(spark: SparkSession, root: str, names: Sequence[str]) -> None:
 
 
 # -- run-partitioned derived tables ---------------------------------------------
+MANIFEST = "table_name string, run_id bigint, attempt string"
+
+
 def write_derived(tables: Mapping[str, DataFrame], root: str, run_id: int) -> None:
+    """Write the rows of a run, all its workspaces at once, as a new attempt that the manifest then names.
+
+    Readers see the named attempt only, so a failed write changes nothing, and after a retry no row of an
+    earlier attempt is left in view, also where a workspace has no rows any more.
+    """
+    attempt = f"a{uuid.uuid4().hex}"
     for name, df in tables.items():
-        rows = df.withColumn("run_id", F.lit(run_id).cast("bigint"))
-        _replace_partitions(rows, f"{root}/{name}", ["workspace_id", "run_id"])
+        rows = df.withColumns({"run_id": F.lit(run_id).cast("bigint"), "attempt": F.lit(attempt)})
+        rows.write.mode("append").partitionBy("workspace_id", "run_id", "attempt").parquet(f"{root}/{name}")
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        named = spark.createDataFrame([(name, run_id, attempt) for name in tables], MANIFEST)
+        _replace_partitions(named, f"{root}/manifest", ["run_id", "table_name"])
 
 
 def publish_runs(runs: DataFrame, root: str) -> None:
@@ -131,9 +145,11 @@ def current_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_current(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     """A derived table as of each workspace's latest complete run (prunes run partitions)."""
-    full = T.StructType(list(schema.fields) + [T.StructField("run_id", T.LongType())])
+    full = T.StructType([*schema.fields, T.StructField("run_id", T.LongType()), T.StructField("attempt", T.StringType())])
     rows = spark.read.schema(full).parquet(f"{root}/{name}")
-    return rows.join(current_runs(spark, root), ["workspace_id", "run_id"], "left_semi").drop("run_id")
+    named = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where(F.col("table_name") == name)
+    valid = rows.join(named.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
+    return valid.join(current_runs(spark, root), ["workspace_id", "run_id"], "left_semi").select(*schema.names)
 
 
 # -- run log --------------------------------------------------------------------

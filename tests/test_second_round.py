@@ -118,6 +118,27 @@ def test_a_retried_publish_replaces_its_rows(spark, tmp_path):
     assert store.stored_counts(spark, root, ["assets"]).first().row_count == 0
 
 
+def test_a_retry_without_rows_leaves_none(spark, tmp_path):
+    root = str(tmp_path)
+    spaces = spark.createDataFrame([("a",), ("b",)], "workspace_id string")
+    both = spaces.withColumn("x", F.lit(1))
+    read = lambda name: sorted(tuple(r) for r in store.read_current(spark, root, name, both.schema).collect())
+    store.write_derived({"gaps": both, "assets": both}, root, 1)
+    store.open_runs(spaces, root, 1, "manual", "t0", "complete")
+    assert read("gaps") == read("assets") == [("a", 1), ("b", 1)]
+    # The second attempt has no gap in a, and other assets.
+    store.write_derived({"gaps": both.where("workspace_id = 'b'"), "assets": both.withColumn("x", F.lit(2))}, root, 1)
+    assert read("gaps") == [("b", 1)] and read("assets") == [("a", 2), ("b", 2)]
+    store.write_derived({"gaps": both.limit(0)}, root, 1)
+    assert read("gaps") == [] and read("assets") == [("a", 2), ("b", 2)]
+    # A later run that is not complete changes nothing, an attempt that no manifest names is not read.
+    store.write_derived({"assets": both}, root, 2)
+    store.open_runs(spaces, root, 2, "manual", "t1")
+    stray = both.withColumns({"run_id": F.lit(1).cast("bigint"), "attempt": F.lit("stray")})
+    stray.write.mode("append").partitionBy("workspace_id", "run_id", "attempt").parquet(f"{root}/assets")
+    assert read("assets") == [("a", 2), ("b", 2)]
+
+
 def test_a_catalogue_that_cannot_be_read_is_an_error(spark, tmp_path):
     assert incremental._catalogue(spark, str(tmp_path / "none"), 1).count() == 0
     (tmp_path / "bad").mkdir()
