@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidara.llm import lines, packing, personal, quality, simhash
+from evidara.llm import lines, near_copies, packing, personal, quality
 from evidara.llm.base import read, session, texts, unused
 from evidara.session import shared_folder
 
@@ -43,9 +43,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id (of equal ids, the smallest hash)."""
+    """One document of each group of near copies (five-word shingles, Jaccard of 0.8 or more).
+
+    It is the one with the smallest id (of equal ids, the smallest hash).
+    """
     session(spark)
-    heads = simhash.heads(texts(docs), "_hash").withColumnRenamed("doc_id", "_id")
+    heads = near_copies.heads(texts(docs), "_hash").withColumnRenamed("doc_id", "_id")
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     rest = F.struct(F.lit(0), *[F.col(f"`{name}`") for name in docs.columns if name not in ("doc_id", "text")])
     # Equal ids and texts are told apart by their other columns; as JSON, as maps have no order.
