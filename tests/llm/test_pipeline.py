@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections import defaultdict
 
 import corpus_pipeline
-from evidara.llm import packing, personal, quality, simhash
+from evidara.llm import near_copies, packing, personal, quality, simhash
 from tests.llm.test_lines import brute as line_brute
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import groups
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -37,9 +37,11 @@ def test_every_stage_on_the_whole_table(spark):
             want = line_brute([(i, r.text) for i, r in before.items()])
             assert text == {i: want[i, r.text] for i, r in before.items()}
         elif name == "near duplicates":
-            order = sorted(before)
-            label = slow_components([slow_fingerprint(before[i].text) for i in order])
-            assert text == {order[c]: before[order[c]].text for c in set(label)}
+            label, best = groups({i: r.text for i, r in before.items()})
+            gone = before.keys() - text.keys()
+            assert text == {i: before[i].text for i in text} and all(label[i] != i for i in gone)
+            copies = {i for i in before if best[i] >= near_copies.SIMILARITY}
+            assert len(copies & gone) >= 0.9 * len(copies) > 0
         else:
             assert text == {i: personal.mask(r.text) for i, r in before.items()}
         after = spark.createDataFrame(rows, made.schema)
@@ -66,6 +68,7 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), FOLDER).collect() == [], name
     assert corpus_pipeline.pack(spark, docs.limit(0), FOLDER).collect() == []
     assert simhash.heads(docs.limit(0).select("doc_id", "text")).collect() == []
+    assert near_copies.heads(docs.limit(0).select("doc_id", "text")).collect() == []
 
 
 def test_clashing_names_and_maps(spark):
