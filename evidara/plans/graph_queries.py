@@ -18,18 +18,18 @@ from evidara.session import settle
 LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ENTITY_EDGE_LABELS.items())
 STATUS = f"CASE WHEN document = '' OR evidence = '' THEN 'rejected' WHEN c >= 0.7 THEN 'accepted' ELSE 'weak' END"
 
-# The edge rules on the stand-in tables, first edge per key; seq reproduces the rule order.
+# The edge rules on the stand-in tables, first edge per key; rule, k1, k2, at_id and sub reproduce their order.
 EDGES = f"""{S.WITH}, mention AS (SELECT e.id, a.asset_id FROM entities_t e JOIN assets_t a ON a.workspace_id = e.workspace_id AND contains(upper(e.value || ' ' || e.context || ' ' || e.filename), upper(a.asset_id)) WHERE e.entity_type <> 'Equipment'),
  rules AS (
-  SELECT workspace_id, asset_id AS source_id, 'Location:' || location AS target_id, 'EQUIPMENT_LOCATED_IN' AS relation_type, 0.72 AS c, source_document AS document, source_page AS page, evidence_text AS evidence, 1 AS rule, 0 AS id, '' AS sub FROM assets_t WHERE location <> 'Unknown'
-  UNION ALL SELECT workspace_id, CASE WHEN entity_type = 'Equipment' THEN value ELSE entity_type || ':' || value END, 'Document:' || document_id, CASE WHEN entity_type = 'Equipment' THEN 'EQUIPMENT_MENTIONED_IN_DOCUMENT' ELSE 'MENTIONED_IN_DOCUMENT' END, confidence, filename, page, context, 2, id, '' FROM entities_t
-  UNION ALL SELECT e.workspace_id, m.asset_id, entity_type || ':' || value, CASE entity_type {LABELS} ELSE 'EQUIPMENT_RELATED_TO_ENTITY' END, confidence, filename, page, context, 2, e.id, m.asset_id FROM entities_t e JOIN mention m USING (id)
-  UNION ALL SELECT workspace_id, asset_id, 'Maintenance Event:' || id, 'EQUIPMENT_HAS_MAINTENANCE_EVENT', 0.86, source_document, source_page, description, 3, id, '' FROM events_t
-  UNION ALL SELECT l.workspace_id, l.asset_id, 'Document:' || l.document_id, 'EQUIPMENT_SUPPORTED_BY_DOCUMENT', 0.58, coalesce(d.filename, a.source_document, ''), coalesce(a.source_page, 1), coalesce(a.evidence_text, ''), 4, l.document_id, l.asset_id
+  SELECT workspace_id, asset_id AS source_id, 'Location:' || location AS target_id, 'EQUIPMENT_LOCATED_IN' AS relation_type, 0.72 AS c, source_document AS document, source_page AS page, evidence_text AS evidence, 1 AS rule, 0 AS id, '' AS sub, '' AS k1, '' AS k2 FROM assets_t WHERE location <> 'Unknown'
+  UNION ALL SELECT workspace_id, CASE WHEN entity_type = 'Equipment' THEN value ELSE entity_type || ':' || value END, 'Document:' || document_id, CASE WHEN entity_type = 'Equipment' THEN 'EQUIPMENT_MENTIONED_IN_DOCUMENT' ELSE 'MENTIONED_IN_DOCUMENT' END, confidence, filename, page, context, 2, id, '', entity_type, value FROM entities_t
+  UNION ALL SELECT e.workspace_id, m.asset_id, entity_type || ':' || value, CASE entity_type {LABELS} ELSE 'EQUIPMENT_RELATED_TO_ENTITY' END, confidence, filename, page, context, 2, e.id, m.asset_id, entity_type, value FROM entities_t e JOIN mention m USING (id)
+  UNION ALL SELECT workspace_id, asset_id, 'Maintenance Event:' || id, 'EQUIPMENT_HAS_MAINTENANCE_EVENT', 0.86, source_document, source_page, description, 3, id, '', '', '' FROM events_t
+  UNION ALL SELECT l.workspace_id, l.asset_id, 'Document:' || l.document_id, 'EQUIPMENT_SUPPORTED_BY_DOCUMENT', 0.58, coalesce(d.filename, a.source_document, ''), coalesce(a.source_page, 1), coalesce(a.evidence_text, ''), 4, l.document_id, l.asset_id, '', ''
     FROM links_t l LEFT JOIN documents_t d ON d.workspace_id = l.workspace_id AND d.id = l.document_id LEFT JOIN assets_t a ON a.workspace_id = l.workspace_id AND a.asset_id = l.asset_id
-  UNION ALL SELECT workspace_id, asset_id, 'Compliance Gap:' || id, 'EQUIPMENT_HAS_COMPLIANCE_GAP', 0.9, source_document, source_page, evidence, 5, id, '' FROM gaps_t
-  UNION ALL SELECT workspace_id, asset_id, 'Contradiction:' || id, 'EQUIPMENT_HAS_CONTRADICTION', 0.82, source_document_a, source_page_a, evidence_a, 6, id, '' FROM contradictions_t),
- edges_t AS MATERIALIZED (SELECT workspace_id, source_id, target_id, relation_type, c AS confidence, CASE WHEN rule = 4 THEN 'weak' ELSE {STATUS} END AS validation_status, document AS source_document, page::INTEGER AS source_page, evidence AS evidence_text
+  UNION ALL SELECT workspace_id, asset_id, 'Compliance Gap:' || id, 'EQUIPMENT_HAS_COMPLIANCE_GAP', 0.9, source_document, source_page, evidence, 5, id, '', '', '' FROM gaps_t
+  UNION ALL SELECT workspace_id, asset_id, 'Contradiction:' || id, 'EQUIPMENT_HAS_CONTRADICTION', 0.82, source_document_a, source_page_a, evidence_a, 6, id, '', '', '' FROM contradictions_t),
+ edges_t AS MATERIALIZED (SELECT workspace_id, source_id, target_id, relation_type, c AS confidence, CASE WHEN rule = 4 THEN 'weak' ELSE {STATUS} END AS validation_status, document AS source_document, page::INTEGER AS source_page, evidence AS evidence_text, rule, k1, k2, id AS at_id, sub
   FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, source_id, target_id, relation_type, document, evidence ORDER BY rule, id, sub) AS r FROM rules) WHERE r = 1)"""
 
 NODES = """, node_parts AS (
@@ -41,6 +41,8 @@ NODES = """, node_parts AS (
   UNION SELECT workspace_id, 'Maintenance Event:' || id, title, 'Maintenance Event' FROM events_t
   UNION SELECT workspace_id, 'Compliance Gap:' || id, gap_type, 'Compliance Gap' FROM gaps_t
   UNION SELECT workspace_id, 'Contradiction:' || id, contradiction_type, 'Contradiction' FROM contradictions_t), nodes_t AS MATERIALIZED (SELECT * FROM node_parts)"""
+EDGE_FIELDS = ["source_id", "target_id", "relation_type", "confidence", "validation_status", "source_document", "source_page", "evidence_text"]
+EDGE_SQL = "source_id, target_id, relation_type, round(confidence, 2) AS confidence, validation_status, source_document, source_page, evidence_text"
 VISIBLE = EDGES + NODES + """, shown AS MATERIALIZED (SELECT * FROM edges_t e WHERE EXISTS (SELECT 1 FROM nodes_t n WHERE n.workspace_id = e.workspace_id AND n.id = e.source_id)
   AND EXISTS (SELECT 1 FROM nodes_t n WHERE n.workspace_id = e.workspace_id AND n.id = e.target_id))"""
 
@@ -81,21 +83,21 @@ def _(t):
     return G.edge_audit(edges(t))
 
 
-@query("visible_edges", "D11 J4", f"{VISIBLE} SELECT workspace_id, relation_type, count(*) AS edges FROM shown GROUP BY ALL")
+@query("visible_edges", "D11 J4", f"{VISIBLE} SELECT workspace_id, {EDGE_SQL} FROM shown")
 def _(t):
-    return shown(t).groupBy("workspace_id", "relation_type").agg(F.count("*").alias("edges"))
+    return shown(t).select("workspace_id", *EDGE_FIELDS)
 
 
 @query("graph_view", "J4 F2 F3", f"""{VISIBLE}, e4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, asset_id ORDER BY event_date DESC,
  CASE event_type WHEN 'Incident' THEN 5 WHEN 'Inspection' THEN 3 WHEN 'Service' THEN 2 WHEN 'Work Order' THEN 1 ELSE 0 END DESC, id DESC) AS k FROM events_t) WHERE k <= 4),
  g3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, asset_id ORDER BY CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, id DESC) AS k FROM gaps_t) WHERE k <= 3)
-SELECT relation_type, count(*) AS edges FROM shown s WHERE (relation_type NOT IN ('EQUIPMENT_HAS_MAINTENANCE_EVENT', 'EQUIPMENT_HAS_COMPLIANCE_GAP'))
- OR target_id IN (SELECT 'Maintenance Event:' || id FROM e4) OR target_id IN (SELECT 'Compliance Gap:' || id FROM g3) GROUP BY relation_type""")
+SELECT workspace_id, {EDGE_SQL} FROM shown s WHERE (relation_type NOT IN ('EQUIPMENT_HAS_MAINTENANCE_EVENT', 'EQUIPMENT_HAS_COMPLIANCE_GAP'))
+ OR target_id IN (SELECT 'Maintenance Event:' || id FROM e4) OR target_id IN (SELECT 'Compliance Gap:' || id FROM g3)""")
 def _(t):
     tables = S.graph_tables(t)
     limited = {**tables, "events": G.limit_events(tables["events"]), "gaps": G.limit_gaps(tables["gaps"])}
     view = G.visible_edges(edges(t), G.derive_nodes(limited))
-    return view.groupBy("relation_type").agg(F.count("*").alias("edges"))
+    return view.select("workspace_id", *EDGE_FIELDS)
 
 
 @query("edge_ids", "F5", f"{VISIBLE} SELECT workspace_id, source_id || '-' || target_id AS pair, count(*) AS edges FROM shown GROUP BY ALL")
@@ -166,30 +168,40 @@ def _(t):
 
 
 PATHS = VISIBLE + """, inc AS (SELECT a.workspace_id, a.asset_id, s.* EXCLUDE (workspace_id) FROM shown s JOIN assets_t a ON a.workspace_id = s.workspace_id AND (a.asset_id = s.source_id OR a.asset_id = s.target_id)),
- top AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, asset_id ORDER BY CASE validation_status WHEN 'accepted' THEN 3 WHEN 'weak' THEN 2 ELSE 1 END DESC, confidence DESC, relation_type DESC) AS k FROM inc)"""
+ top AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, asset_id ORDER BY CASE validation_status WHEN 'accepted' THEN 3 WHEN 'weak' THEN 2 ELSE 1 END DESC, confidence DESC, relation_type DESC, rule, k1, k2, at_id, sub) AS k FROM inc)"""
 
 
-@query("incident_edges", "D14", f"{PATHS} SELECT workspace_id, asset_id, count(*) AS edges FROM inc GROUP BY ALL")
+@query("incident_edges", "D14", f"{PATHS} SELECT workspace_id, asset_id, {EDGE_SQL} FROM inc")
 def _(t):
-    return G.incident_edges(shown(t), S.assets(t)).groupBy("workspace_id", "asset_id").agg(F.count("*").alias("edges"))
+    return G.incident_edges(shown(t), S.assets(t)).select("workspace_id", "asset_id", *EDGE_FIELDS)
 
 
-@query("path_edges", "F4", f"{PATHS} SELECT workspace_id, asset_id, validation_status, round(confidence, 2) AS confidence, relation_type, k AS rank FROM top WHERE k <= 12")
+@query("path_edges", "F4", f"{PATHS} SELECT workspace_id, asset_id, {EDGE_SQL}, k AS rank FROM top WHERE k <= 12")
 def _(t):
-    return G.path_edges(shown(t), S.assets(t)).select("workspace_id", "asset_id", "validation_status", F.round("confidence", 2).alias("confidence"), "relation_type", "rank")
+    return G.path_edges(shown(t), S.assets(t)).select("workspace_id", "asset_id", *EDGE_FIELDS, "rank")
 
 
-@query("evidence_paths", "J5 E16", f"{PATHS} SELECT workspace_id, asset_id, count(*)::INTEGER AS edges, round(avg(confidence), 6) AS mean_confidence FROM top WHERE k <= 12 GROUP BY ALL")
+@query("evidence_paths", "J5 E16", f"""{PATHS}, best AS (SELECT * FROM top WHERE k <= 12),
+ ends AS (SELECT workspace_id, asset_id, source_id AS id FROM best UNION SELECT workspace_id, asset_id, target_id FROM best UNION SELECT workspace_id, asset_id, asset_id FROM best),
+ named AS (SELECT e.workspace_id, e.asset_id, string_agg(n.id || '=' || n.label || '=' || n.type, '|' ORDER BY n.id) AS nodes FROM ends e JOIN nodes_t n ON n.workspace_id = e.workspace_id AND n.id = e.id GROUP BY ALL)
+SELECT workspace_id, asset_id, count(*)::INTEGER AS edges, round(avg(confidence), 6) AS mean_confidence,
+ string_agg(source_id || '>' || relation_type || '>' || target_id || '>' || evidence_text, '|' ORDER BY k) AS edge_list, any_value(nodes) AS node_list
+FROM best JOIN named USING (workspace_id, asset_id) GROUP BY workspace_id, asset_id""")
 def _(t):
     paths = G.paths(shown(t), nodes(t), S.assets(t))
     mean = F.aggregate("edges", F.lit(0.0), lambda a, e: a + e["confidence"]) / F.size("edges")
-    return paths.select("workspace_id", "asset_id", F.size("edges").alias("edges"), F.round(mean, 6).alias("mean_confidence"))
+    edge = lambda e: F.concat_ws(">", e["source_id"], e["relation_type"], e["target_id"], e["evidence_text"])
+    node = lambda n: F.concat_ws("=", n["id"], n["label"], n["type"])
+    return paths.select(
+        "workspace_id", "asset_id", F.size("edges").alias("edges"), F.round(mean, 6).alias("mean_confidence"),
+        F.array_join(F.transform("edges", edge), "|").alias("edge_list"), F.array_join(F.transform("nodes", node), "|").alias("node_list"),
+    )
 
 
-@query("path_evidence_rows", "J6", f"{PATHS} SELECT workspace_id, asset_id, k AS rank, round(confidence, 2) AS confidence, validation_status AS status FROM top WHERE k <= 8")
+@query("path_evidence_rows", "J6", f"{PATHS} SELECT workspace_id, asset_id, k AS rank, round(confidence, 2) AS confidence, validation_status AS status, source_document AS document, source_page AS page FROM top WHERE k <= 8")
 def _(t):
     rows = G.path_evidence(G.paths(shown(t), nodes(t), S.assets(t)))
-    return rows.select("workspace_id", "asset_id", "rank", F.round("confidence", 2).alias("confidence"), "status")
+    return rows.select("workspace_id", "asset_id", "rank", F.round("confidence", 2).alias("confidence"), "status", "document", "page")
 
 
 @query("path_of_node", "J7", f"{PATHS} SELECT workspace_id, asset_id AS id, asset_id FROM top WHERE k = 1")
@@ -228,6 +240,13 @@ def _(t):
     return lines.select("workspace_id", parsed.alias("n")).select("workspace_id", "n.id", F.col("n.data.label").alias("label"))
 
 
+@query("edge_json_export", "A17", f"{VISIBLE} SELECT workspace_id, {EDGE_SQL}, relation_type AS label FROM shown")
+def _(t):
+    lines = G.edge_json(shown(t))
+    schema = "source_id string, target_id string, relation_type string, confidence double, validation_status string, source_document string, source_page int, evidence_text string, label string"
+    return lines.select("workspace_id", F.from_json("line", schema).alias("e")).select("workspace_id", "e.*")
+
+
 @query("stored_edge_defaults", "J3", f"{EDGES} SELECT workspace_id, source_id, target_id, relation_type AS label, CASE WHEN starts_with(relation_type, 'MENTIONED') THEN 'weak' ELSE validation_status END AS validation_status FROM edges_t")
 def _(t):
     stored = edges(t).withColumn("label", F.lit(None).cast("string")).withColumn(
@@ -272,11 +291,12 @@ SELECT asset_id, 'risk' AS section, risk_level AS label, coalesce(last_inspectio
 UNION ALL SELECT asset_id, 'gap', gap_type, CASE WHEN evidence <> '' THEN 'accepted' ELSE 'rejected' END FROM gaps_t
 UNION ALL SELECT asset_id, 'event', title, event_type FROM events_t
 UNION ALL SELECT asset_id, 'action', unnest(['Inspect ' || asset_id, 'Review the log']), source_document || ' | ' || source_page || ' | ' || evidence_text FROM assets_t WHERE c_custkey % 2 = 0
+UNION ALL SELECT asset_id, 'failure_pattern', value, '' FROM (SELECT DISTINCT a.workspace_id, a.asset_id, e.value FROM entities_t e JOIN assets_t a ON a.workspace_id = e.workspace_id AND contains(e.context, a.asset_id) WHERE entity_type = 'Failure Mode')
+UNION ALL SELECT asset_id, 'path_edge', source_id || ' -> ' || relation_type || ' -> ' || target_id, validation_status FROM top WHERE k <= 12
 UNION ALL SELECT asset_id, 'contradiction', contradiction_type, description FROM contradictions_t""")
 def _(t):
     summary = R.risk_summary(S.assets(t), S.gaps(t), S.entities(t), S.events(t), S.contradictions(t), shown(t))
-    # Path edges have their own query; equal edges may differ there in their end nodes.
-    return summary.where(~F.col("section").isin("path_edge", "failure_pattern")).select("asset_id", "section", "label", "detail")
+    return summary.select("asset_id", "section", "label", "detail")
 
 
 @query("document_detail", "K6", f"""{S.WITH}
