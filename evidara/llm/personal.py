@@ -8,7 +8,9 @@ of digits as address or card, and reads the value behind a cue such as ``account
 Kinds: ``email``, ``ip``, ``card``, ``phone`` (leftmost, non-overlapping per kind; candidates
 that fail validation are dropped) and, beyond them, ``url``, ``account`` and ``postal``.
 Defined results: a null text is empty, an empty text has no spans, a text of any length is read
-whole, repeated rows give repeated rows, other columns are ignored.
+whole, repeated rows give repeated rows, other columns are ignored, an empty table gives an empty result.
+Schemes, cues and streets are found in any case of A-Z; a house number before its street is sought in the 80 characters
+before it.
 """
 
 from __future__ import annotations
@@ -50,13 +52,14 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("street", STREETS)):
         for word in words:
-            for form in {word, word.capitalize(), word.upper()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
 _ANCHORS = _automaton()
+# Letter by letter, so places stay the same.
+_LOWER = {**{ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, ord("\u1e9e"): "\u00df"}
 
 
 def luhn(digits: str) -> bool:
@@ -101,7 +104,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if valid is None or valid(text[start:end]):
                 spans.append((start, kind, end))
 
-    for last, (anchor, size) in _ANCHORS.iter(text):
+    for last, (anchor, size) in _ANCHORS.iter(text.translate(_LOWER)):
         begin = last + 1 - size
         if anchor == "digit":
             for kind, pattern, valid in ((1, _IP, _ip_ok), (2, _CARD, _card_ok)):

@@ -94,3 +94,19 @@ def test_long_values_are_masked_whole():
     assert personal.mask("token: " + "eyJh.eyJz-_9." * 40 + " end") == "token: [ACCOUNT] end"
     assert personal.mask("token password: abc123 token-" + "password-" * 9) == "token password: [ACCOUNT] token-" + "password-" * 9
     assert personal.find("token=" + "a-token-" * 100_000) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from([*personal.CUES, *personal.SCHEMES, *personal.STREETS]), st.integers(0, 2**16))
+def test_anchors_in_any_spelling(word, flips):
+    """Cues, schemes and streets are found whatever the case of each letter; places are those of the text given."""
+    spelt = "".join(c.upper() if c.isascii() and flips >> i & 1 else c for i, c in enumerate(word))
+    text = f"\u0130 {{}} 12 12 {spelt} 12 abc12345 {spelt}: abc12345"
+    same = text.replace(spelt, word)
+    assert personal.find(text) == personal.find(same)
+
+
+def test_cues_of_mixed_spelling():
+    for text in ("PassWord: abc12345", "pAssword=abc12345", "\u0130 passWORD abc12345"):
+        found = [s for s in personal.find(text) if s[0] == "account"]
+        assert [text[a:b] for _, a, b in found] == ["abc12345"], text
