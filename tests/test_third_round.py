@@ -6,6 +6,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from evidara.functions.ordering import first_by
+from evidara.operators import graph as G
+from evidara.plans import graph_queries as GQ
+from evidara.plans import standins as S
 from evidara.plans.registry import Tables, spread
 
 
@@ -36,3 +40,30 @@ def test_even_splits_are_left_as_scanned(spark):
     even = spark.range(0, 4000, 1, 16).withColumnRenamed("id", "doc_id")
     assert "Exchange hashpartitioning" not in spread(even, "doc_id")._jdf.queryExecution().toString()
     assert spread(even.where("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_keys_of_first_wins_rows_travel_once(spark):
+    rows = spark.createDataFrame([("a", None, 2, "x"), ("a", None, 1, "y"), ("b", "k", 3, "z")], "k string, l string, ord int, v string")
+    kept = first_by(rows, ["k", "l", F.lower("v")], ["ord"])
+    assert sorted((r.k, r.l, r.ord, r.v) for r in kept.collect()) == [("a", None, 1, "y"), ("a", None, 2, "x"), ("b", "k", 3, "z")]
+    narrow = first_by(rows, ["k", "l"], ["ord"])
+    assert narrow.columns == rows.columns
+    assert sorted((r.k, r.l, r.ord, r.v) for r in narrow.collect()) == [("a", None, 1, "y"), ("b", "k", 3, "z")]
+    assert "struct(ord, ord" in narrow._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in first_by(rows.select("k"), ["k"], ["k"]).sort("k").collect()] == [("a",), ("b",)]
+
+
+def test_edges_are_numbered_without_their_texts(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole, narrow = G.number_edges(GQ.shown(t), GQ.nodes(t)), G.number_edges(GQ.shown_ends(t), GQ.nodes(t))
+    assert set(narrow.columns) == {*GQ.ENDS, "edge_index", "edge_id"}
+    pick = ["workspace_id", "source_id", "target_id", "edge_index", "edge_id"]
+    assert whole.select(*pick).exceptAll(narrow.select(*pick)).count() == 0
+    assert whole.count() == narrow.count() > 0
+
+
+def test_nodes_without_details_are_the_same_nodes(spark):
+    tables = S.graph_tables(Tables(spark, "/root/testdata/sf0.001"))
+    whole, bare = G.derive_nodes(tables), G.derive_nodes(tables, details=False)
+    assert "details" not in bare.columns and whole.count() == bare.count()
+    assert whole.drop("details").exceptAll(bare).count() == 0
