@@ -67,3 +67,17 @@ def test_nodes_without_details_are_the_same_nodes(spark):
     whole, bare = G.derive_nodes(tables), G.derive_nodes(tables, details=False)
     assert "details" not in bare.columns and whole.count() == bare.count()
     assert whole.drop("details").exceptAll(bare).count() == 0
+
+
+def test_visible_edges_move_no_whole_edge(spark):
+    edges = spark.createDataFrame(
+        [("w", "a", "b", "1"), ("w", "a", "b", "1"), ("w", "a", "x", "2"), ("w", "x", "a", "3"), ("w", None, "a", "4"),
+         ("w", "a", None, "5"), (None, "a", "b", "6"), ("v", "a", "a", "7"), ("v", "b", "a", "8")],
+        "workspace_id string, source_id string, target_id string, evidence_text string",
+    )
+    nodes = spark.createDataFrame([("w", "a"), ("w", "a"), ("w", "b"), ("v", "a"), (None, "a"), ("w", None)], "workspace_id string, id string")
+    kept = G.visible_edges(edges, nodes)
+    assert kept.columns == ["workspace_id", "target_id", "source_id", "evidence_text"]
+    assert sorted(r.evidence_text for r in kept.collect()) == ["1", "1", "7"]
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert G.visible_edges(edges, nodes.limit(0)).count() == 0
