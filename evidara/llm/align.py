@@ -21,6 +21,7 @@ other columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -48,6 +49,8 @@ KEPT = 120_000
 ROWS = 256
 # Stretches that are encoded together; links of a group that are written out one by one.
 BATCH, WIDE = 8192, 4096
+# Open intervals that are no longer probed together.
+FEW = 64
 _CUT = re.compile(r"(?<=[\w!-~])(?= )")
 _PLAIN = re.compile(r" +[^ ]*")
 # A character before a blank that does not make a cut.
@@ -93,6 +96,35 @@ def align(a: list[int], b: list[int], starts: list[tuple[int, int, int, int]] |
     return groups
 
 
+def align_all(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``align`` for many intervals at once, (from, to, from, to) in rows: each round probes one end of every open interval.
+
+    The last few open ones are done one by one, so an interval without a shared end costs no round for each of its ends.
+    """
+    todo, probe, done = starts, np.zeros(len(starts), np.int64), []
+    while len(todo):
+        if len(todo) < FEW:
+            for i, i_end, j, j_end in todo.tolist():
+                found = np.array(align(a[i:i_end].tolist(), b[j:j_end].tolist()), np.int64)
+                done.append(found + np.array([i, i, j, j]))
+            break
+        i, i_end, j, j_end = todo.T
+        middle = (i + i_end - 1) // 2
+        at = middle + np.where(probe % 2 == 1, (probe + 1) // 2, -(probe // 2))
+        inside = (at >= i) & (at < i_end - 1)
+        whole = (i_end - i == 1) | (j_end - j == 1) | (probe > 2 * np.maximum(middle - i, i_end - 1 - middle))
+        done.append(todo[whole])
+        other = np.searchsorted(b, a[np.where(inside, at, i_end - 1)])
+        hit = inside & ~whole & (b[other] == a[at * inside])
+        on = ~whole & ~hit
+        left = np.stack([i, at + 1, j, other + 1], 1)[hit]
+        right = np.stack([at + 1, i_end, other + 1, j_end], 1)[hit]
+        todo = np.concatenate([todo[on], left, right])
+        probe = np.concatenate([probe[on] + 1, np.zeros(2 * len(left), np.int64)])
+    groups = np.concatenate(done) if done else np.zeros((0, 4), np.int64)
+    return groups[np.argsort(groups[:, 0])]
+
+
 def byte_of_sign() -> dict[str, int]:
     """The signs by which byte-level vocabularies write bytes: printable ones as such, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -100,6 +132,11 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + n): x for n, x in enumerate(rest)}
 
 
+def _sums(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values between neighbouring ends."""
+    return np.diff(np.r_[0, np.cumsum(values)][ends])
+
+
 class Coders:
     """Both tokenizers, with the bytes of their ids."""
 
@@ -145,6 +182,17 @@ class Coders:
         b = self.b.encode([x[1:] for x in given], num_threads=1)  # it adds the first blank itself, but not to nothing
         return [(x, y if s != " " else [self.blank]) for x, y, s in zip(a, b, given, strict=True)]
 
+    def all_give(self, given: list[str], coded: list[tuple[list[int], list[int]]]) -> list[bool]:
+        """``gives`` for each; where all do, as nearly always, their bytes are joined and compared once."""
+        raw = [text.encode() for text in given]
+        whole, lengths = b"".join(raw), np.array([len(x) for x in raw])
+        for n, own in enumerate((self.a_bytes, self.b_bytes)):
+            ids = list(chain.from_iterable([x[n] for x in coded]))
+            ends = np.r_[0, np.cumsum([len(x[n]) for x in coded])]
+            if b"".join([own[i] for i in ids]) != whole or (_sums(ends, self.sizes[n][ids]) != lengths).any():
+                return [self.gives(s, *x) for s, x in zip(given, coded, strict=True)]
+        return [True] * len(given)
+
     def gives(self, text: str, a: list[int], b: list[int]) -> bool:
         """Do the ids of both give the bytes of the text?"""
         raw = text.encode()
@@ -195,7 +243,7 @@ def _pairs(groups: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 def aligned_stretches(both: Coders, given: list[str]) -> list[Stretch | None]:
     """Each stretch encoded and aligned; nothing where a tokenizer does not give its bytes back."""
     coded = both.encode(given)
-    good = [both.gives(s, *ids) for s, ids in zip(given, coded, strict=True)]
+    good = both.all_give(given, coded)
     kept = [ids for ids, fine in zip(coded, good, strict=True) if fine]
     if not kept:
         return [None] * len(given)
@@ -203,9 +251,9 @@ def aligned_stretches(both: Coders, given: list[str]) -> list[Stretch | None]:
     counts = [np.array([len(ids[n]) for ids in kept]) for n in (0, 1)]
     upto = [np.cumsum(c) for c in counts]
     # Neighbouring stretches follow each other in one string of bytes, so ends rise through all of them.
-    ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(both.sizes, flat, strict=True)]
-    starts = [*zip((upto[0] - counts[0]).tolist(), upto[0].tolist(), (upto[1] - counts[1]).tolist(), upto[1].tolist(), strict=True)]
-    groups = np.array(align(*ends, starts), np.int64)
+    ends = [np.cumsum(size[ids]) for size, ids in zip(both.sizes, flat, strict=True)]
+    starts = np.stack([upto[0] - counts[0], upto[0], upto[1] - counts[1], upto[1]], 1)
+    groups = align_all(*ends, starts)
     of = np.searchsorted(upto[0], groups[:, 0], side="right")
     # The text of the groups: ids of the first side, then of the second, group after group.
     text = np.empty(len(flat[0]) + len(flat[1]), object)
@@ -222,7 +270,7 @@ def aligned_stretches(both: Coders, given: list[str]) -> list[Stretch | None]:
     n_links = np.bincount(of, (groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2]), len(kept)).astype(np.int64)
     sizes = zip(counts[0].tolist(), counts[1].tolist(), n_groups.tolist(), n_links.tolist(), strict=True)
     made = []
-    for row, ((i, i_end, j, j_end), own) in enumerate(zip(starts, sizes, strict=True)):
+    for row, ((i, i_end, j, j_end), own) in enumerate(zip(starts.tolist(), sizes, strict=True)):
         part = slice(borders[row], borders[row + 1])
         made.append(Stretch(own, b"".join(text[i + j : i_end + j_end])[:-1], pairs[part].tobytes(), times[part].tobytes()))
     rest = iter(made)
@@ -252,11 +300,6 @@ def _known(both: Coders, kept: dict[str, Stretch | None], wanted: list[str]) ->
     return found
 
 
-def _sums(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the values between neighbouring ends."""
-    return np.diff(np.r_[0, np.cumsum(values)][ends])
-
-
 COLUMNS = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times", "pairs", "holders"]
 LINKED = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -326,6 +369,16 @@ def linked(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
     """doc_id, text -> a row for each document, its links by numbers of the block's pairs, and one for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks make millions of small objects without a cycle; looking for cycles took a fifth of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from made(batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = coders(byte_level, pieces)
         kept: dict[str, Stretch | None] = both.__dict__.setdefault("kept", {})
         number = TaskContext.get().partitionId() << 32

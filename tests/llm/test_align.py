@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -144,3 +145,29 @@ def test_odd_rows(spark):
     made = align.scored(texts(df)).collect()
     assert len(made) == 3 and sorted(r.count_sum for r in made) == [0, 4, 4]
     assert align.scored(texts(df.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 1, 5])
+def test_intervals_aligned_together(monkeypatch, few):
+    monkeypatch.setattr(align, "FEW", few)
+    draw = random.Random(few)
+    a, b, starts, base = [], [], [], 0
+    for _ in range(400):
+        size = draw.choice([1, 2, 5, 40, 400])
+        i, j = len(a), len(b)
+        for side in (a, b):
+            inner = draw.sample(range(1, size), draw.randrange(size)) if size > 1 else []
+            side += [base + x for x in sorted(inner)] + [base + size]
+        starts.append((i, len(a), j, len(b)))
+        base += size
+    made = align.align_all(np.array(a), np.array(b), np.array(starts))
+    assert [tuple(g) for g in made.tolist()] == align.align(a, b, starts)
+
+
+def test_bytes_given_back_are_compared_per_stretch():
+    both = align.coders(align.BYTE_LEVEL, align.PIECES)
+    given_texts = [" one", " two", " three"]
+    coded = both.encode(given_texts)
+    assert both.all_give(given_texts, coded) == [True] * 3
+    assert both.all_give(given_texts, [coded[0], coded[2], coded[1]]) == [True, False, False]
+    assert both.all_give([" on", "e two", " three"], coded) == [False, False, True]
