@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from evidara.functions.ordering import first_by
 from evidara.operators import graph as G
+from evidara.operators import scorecard as C
 from evidara.plans import graph_queries as GQ
+from evidara.plans import ingest_queries as I
 from evidara.plans import standins as S
 from evidara.plans.registry import Tables, spread
 
@@ -81,3 +83,28 @@ def test_visible_edges_move_no_whole_edge(spark):
     assert sorted(r.evidence_text for r in kept.collect()) == ["1", "1", "7"]
     assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
     assert G.visible_edges(edges, nodes.limit(0)).count() == 0
+
+
+def test_texts_of_hits_are_cut_from_their_pages(spark, tmp_path):
+    words = lambda n, k: " ".join(f"w{(i * k) % 97}" for i in range(n))
+    rows = [(1, words(400, 3), "a"), (2, f" {words(10, 5)}\t\n x ", "a"), (2, words(300, 7), "a"), (3, "", "b"), (4, None, "b"), (5, words(91, 1), None), (6, words(260, 11), "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w3 w5 w11"), (2, "w7 x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    t = Tables(spark, str(tmp_path))
+    made = GQ.matches(t)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.text) for r in made.collect())
+    chunks = I.corpus(t).select("text_hash", "text").distinct()
+    hits = I.lexical_hits(t, 6).join(chunks, "text_hash")
+    assert got == sorted((r.query_id, r["rank"], r.text) for r in hits.collect()) and len(got) > 6
+
+
+def test_references_without_terms_fetch_no_page(spark):
+    metrics = spark.createDataFrame([(n, 1.0, 1.0, 1.0, 1.0) for n in (1, 2)], "query_id long, context_recall double, context_precision double, mrr double, ndcg_at_k double")
+    checks = metrics.select("query_id", *[F.lit(0.5).alias(f"minimum_{c}") for c in metrics.columns[1:]])
+    bare = spark.createDataFrame([(1, "f", 1), (2, "g", 2)], "query_id long, file string, page int").withColumn("terms", F.array().cast("array<string>"))
+    pages = bare.select("file", "page", F.raise_error(F.col("file")).cast("string").alias("text"))
+    assert [r.passed for r in C.retrieval_checks(metrics, checks, bare, pages).collect()] == [True, True]
+    asked = bare.withColumn("terms", F.when(F.col("page") == 2, F.array(F.lit("absent"))).otherwise(F.col("terms")))
+    made = C.retrieval_checks(metrics, checks, asked, bare.select("file", "page", F.lit("text").alias("text")))
+    assert {r.query_id: r.passed for r in made.collect()} == {1: True, 2: False}
