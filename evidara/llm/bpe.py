@@ -1,12 +1,13 @@
-"""Byte-level BPE by higher-order functions: ranked merges are folded over each distinct word.
+"""Byte-level BPE by higher-order functions: ranked merges are folded over each distinct unit of words.
 
-A text is cut into words by the pattern; documents are taken in blocks of about ``BLOCK`` bytes, which
-keep each distinct word once and the words of their documents as numbers.  For each distinct word of
-a block a fold merges the pair of lowest rank (the leftmost on ties) until no pair has a rank; the
-documents of the block then take the ids of their words.  Nothing is shuffled.  The
-ranks are literals: hashed arrays from a pair of ids to the id of what it merges
-to, and from whole words to their id.  A block is bounded (or one batch of texts), so the work grows with
-the text; the work of a single word without a break grows with the square of its length.
+A text is cut into words by the pattern, and words into units where two bytes meet that stand side by side in
+no entry of the vocabulary: no merge crosses such a place.  Documents are taken in blocks of about ``BLOCK``
+bytes, which keep the units of their documents as numbers, and bring each distinct unit the task has not
+numbered yet.  For each of these a fold merges the pair of lowest rank (the leftmost on ties) until no pair
+has a rank; the documents of the block then take the ids of their units.  Nothing is shuffled.  The
+ranks are literals: rows of pairs laid into one array, and a hashed array from whole units to their id.  A
+block is bounded (or one batch of texts) and so is the number of units a task keeps, so the work grows with
+the text; the work of a single unit without a break grows with the square of its length.
 
 Decoding looks up the bytes of each id and concatenates them.
 
@@ -32,15 +33,19 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Java's \s is ASCII unless told otherwise.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
-# Bytes of text whose distinct words are folded together.
-BLOCK = 16 << 20
+# Bytes of text of a block.
+BLOCK = 8 << 20
+# Units that a task keeps; beyond them it numbers anew.
+KEPT = 1 << 19
 # Documents of one batch of results.
 ROWS = 256
 SLOTS = (150_001, 150_011)
 # Bits of a part: 17 for a rank (all set: none), 29 for a place, 17 for an id plus one.
-NONE = 2**17 - 1
+NONE = (2**17 - 1) << 46
 IDS = 2**17 - 1
 PLACES = (2**29 - 1) << 17
+# What stands for a byte at both ends of a unit.
+END = 256
 
 
 @cache
@@ -66,28 +71,60 @@ def _cuckoo(places: list[tuple[int, int]], size: int) -> list[int]:
     return slots
 
 
+def _laid(rows: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, row (-1: none) and value of each place: the value at (r, c) stands at offset[r] + c if that place is of r."""
+    columns = IDS + 1
+    room = columns + 4 * sum(map(len, rows.values()))
+    owner, values = np.full(room, -1), np.zeros(room, np.int64)
+    offsets = np.zeros(columns, np.int64)
+    rng = np.random.default_rng(42)
+    for row in sorted(rows, key=lambda r: (-len(rows[r]), r)):
+        at = np.fromiter(rows[row], np.int64)
+        offset = 0
+        while (owner[at + offset] >= 0).any():
+            offset = int(rng.integers(room - columns))
+        offsets[row] = offset
+        owner[at + offset] = row
+        values[at + offset] = list(rows[row].values())
+    return offsets, owner, values
+
+
+@cache
+def _starts(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: its id plus one.  By pair of bytes: their rank in its bits; whether an entry holds them side by side."""
+    known = ranks(vocabulary)
+    first = np.array([*(known[bytes([b])] + 1 for b in range(256)), 0], np.int64)
+    pairs = np.full((257, 257), NONE, np.int64)
+    beside = np.zeros((256, 256), bool)
+    for whole, rank in known.items():
+        if len(whole) == 2:
+            pairs[whole[0], whole[1]] = rank << 46
+        for left, right in zip(whole, whole[1:]):
+            beside[left, right] = True
+    return first, pairs, beside
+
+
 @cache
 def _tables(vocabulary: str) -> str:
     """All tables of a vocabulary as one JSON record; see ``SCHEMA``."""
     known = ranks(vocabulary)
-    pairs: list[tuple[int, int]] = []
+    rows: dict[int, dict[int, int]] = {}
     for whole, rank in known.items():
         for cut in range(1, len(whole)):
             left, right = known.get(whole[:cut]), known.get(whole[cut:])
             if left is not None and right is not None:
-                pairs.append((left * 65536 + right, rank))
-    words = [(whole.decode("latin-1"), rank) for whole, rank in known.items()]
-    hashed = [xxhash.xxh64_intdigest(code.encode(), 42) for code, _ in words]
+                rows.setdefault(left + 1, {})[right + 1] = rank << 46
+    offsets, owner, values = _laid(rows)
+    words = [(base64.b64encode(whole).decode(), rank) for whole, rank in known.items()]
+    hashed = [xxhash.xxh64_intdigest(whole, 42) for whole in known]
     signed = [h - 2**64 if h >> 63 else h for h in hashed]
-    pair_slots = _cuckoo([(k % SLOTS[0], SLOTS[0] + k % SLOTS[1]) for k, _ in pairs], sum(SLOTS))
     word_slots = _cuckoo([(h % SLOTS[0], SLOTS[0] + h % SLOTS[1]) for h in signed], sum(SLOTS))
     pick = lambda entries, slots, i: [entries[e][i] if e >= 0 else None for e in slots]
     order = sorted(known, key=known.get)
     record = {
-        "pair_keys": pick(pairs, pair_slots, 0), "pair_ranks": pick(pairs, pair_slots, 1),
+        "offsets": offsets.tolist(), "pair_lefts": owner.tolist(), "pair_ranks": values.tolist(),
         "word_keys": pick(words, word_slots, 0), "word_ranks": pick(words, word_slots, 1),
-        "first": [known[bytes([b])] for b in range(256)],
-        "byte_pairs": [known.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)],
+        "lengths": [1, *map(len, order)],
         "little": [rank.to_bytes(4, "little").hex() for rank in range(len(order))],
         "pieces": [b.hex() for b in order],
     }
@@ -95,8 +132,8 @@ def _tables(vocabulary: str) -> str:
 
 
 SCHEMA = (
-    "pair_keys array<bigint>, pair_ranks array<int>, word_keys array<string>, word_ranks array<int>, "
-    "first array<int>, byte_pairs array<int>, little array<string>, pieces array<string>"
+    "offsets array<bigint>, pair_lefts array<bigint>, pair_ranks array<bigint>, word_keys array<binary>, "
+    "word_ranks array<bigint>, lengths array<int>, little array<string>, pieces array<string>"
 )
 
 
@@ -108,70 +145,66 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
-def _held(keys: Column, values: Column, key: Column, hashed: Column, otherwise: Column) -> Column:
-    """The value of ``key`` in one of its two slots of a hashed literal."""
-    one = F.pmod(hashed, F.lit(SLOTS[0])).cast("int")
-    two = (F.pmod(hashed, F.lit(SLOTS[1])) + SLOTS[0]).cast("int")
-    return (
-        F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two)).otherwise(otherwise)
-    )
+def _whole(t: Column, unit: Column) -> Column:
+    """The id of a unit that is an entry, in one of its two slots of a hashed literal (else -1)."""
 
+    def of(hashed: Column) -> Column:
+        one, two = F.pmod(hashed, F.lit(SLOTS[0])), F.pmod(hashed, F.lit(SLOTS[1])) + SLOTS[0]
+        held = lambda slot: F.get(t["word_keys"], slot) == unit
+        found = F.when(held(one), F.get(t["word_ranks"], one)).when(held(two), F.get(t["word_ranks"], two))
+        return found.otherwise(F.lit(-1).cast("long"))
 
-def _rank(t: Column, left: Column, right: Column) -> Column:
-    key = left.cast("long") * 65536 + right
-    return _let(key, lambda k: _held(t["pair_keys"], t["pair_ranks"], k, k, F.lit(NONE)))
-
+    return _let(F.xxhash64(unit), of)
 
-def _merged(t: Column, code: Column) -> Column:
-    """Ids of a word given with a character for each byte, by the fold of ranked merges.
 
-    The state has one number for each part of the word: from above, its rank with the part to the
-    right, the place of its first byte, its id plus one (zero: the ends).  Its minimum is so the
-    leftmost pair of lowest rank, and a step replaces three parts around it by two.
-    """
-    n = F.length(code)
-    part = lambda rank, place, own: F.shiftleft(rank.cast("long"), 46) + place + own + 1
-    place = lambda x: x.bitwiseAND(F.lit(PLACES))
-    own = lambda x: (x.bitwiseAND(F.lit(IDS)) - 1).cast("int")
-    edge = F.array(F.lit(NONE << 46))
+def _rank(t: Column, left: Column, right: Column) -> Column:
+    """Rank of a pair of ids plus one, in its bits of a part."""
 
-    def start(bytes_: Column) -> Column:
-        def of(x: Column, i: Column) -> Column:
-            rank = F.coalesce(F.get(t["byte_pairs"], x * 256 + F.get(bytes_, i + 1)), F.lit(NONE))
-            return part(rank, F.shiftleft((i + 1).cast("long"), 17), F.get(t["first"], x))
+    def of(at: Column) -> Column:
+        return F.when(F.get(t["pair_lefts"], at) == left, F.get(t["pair_ranks"], at)).otherwise(F.lit(NONE))
 
-        return F.concat(edge, F.transform(bytes_, of), edge)
+    return _let(F.get(t["offsets"], left) + right, of)
 
-    def step(s: Column) -> Column:
-        def at(low: Column) -> Column:
-            fresh = F.shiftright(low, 46).cast("int")
 
-            def around(q: Column) -> Column:
-                left = F.get(s, q - 2)
-                two = F.array(
-                    part(_rank(t, own(left), fresh), place(left), own(left)),
-                    part(_rank(t, fresh, own(F.get(s, q + 1))), place(low), fresh),
-                )
-                return F.flatten(F.array(F.slice(s, F.lit(1), q - 2), two, F.slice(s, q + 2, F.size(s) - q - 1)))
+def _merged(t: Column, start: Column) -> Column:
+    """The state of a unit after the fold of ranked merges; see ``_started`` for the first one.
 
-            return F.when(fresh == NONE, s).otherwise(_let(F.array_position(s, low).cast("int"), around))
+    The state has one number for each byte and each end; all bytes of a part have the same one.  It holds, from
+    above, the rank of the part with the one to the right, the place of its first byte, and its id plus one (zero:
+    the ends).  So the minimum is the leftmost pair of lowest rank, the part to its left stands one place before,
+    and the part to its right where the length of an id ends: a step finds all it needs by place.
+    """
+    own = lambda x: x.bitwiseAND(F.lit(IDS))
+    place = lambda x: F.shiftright(x.bitwiseAND(F.lit(PLACES)), 17).cast("int")
+    end = lambda at, part: at + F.get(t["lengths"], own(part))
 
-        return _let(F.array_min(s), at)
+    def step(s: Column) -> Column:
+        def merge(low: Column, at: Column, left: Column, after: Column) -> Column:
+            fresh = F.shiftright(low, 46) + 1
+            before = _rank(t, own(left), fresh) + left.bitwiseAND(F.lit(PLACES + IDS))
+            merged = _rank(t, fresh, own(F.get(s, after))) + low.bitwiseAND(F.lit(PLACES)) + fresh
+            parts = F.array(
+                F.slice(s, F.lit(1), place(left)),
+                F.array_repeat(before, at - place(left)),
+                F.array_repeat(merged, after - at),
+                F.slice(s, after + 1, F.size(s) - after),
+            )
+            return F.flatten(parts)
 
-    bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(code, i, F.lit(1))))
-    done = F.aggregate(F.sequence(F.lit(2), n), _let(bytes_, start), lambda s, _: step(s))
-    return F.filter(F.transform(done, own), lambda x: x >= 0)
+        def around(low: Column, at: Column) -> Column:
+            middle = end(at, low)
+            after = end(middle, F.get(s, middle))
+            return _let(F.get(s, at - 1), lambda left: _let(after, lambda a: merge(low, at, left, a)))
 
+        return _let(F.array_min(s), lambda low: F.when(low >= NONE, s).otherwise(_let(place(low), lambda at: around(low, at))))
 
-def _word(t: Column, word: Column) -> Column:
-    """Ids of one match of the pattern, given as its bytes."""
+    return F.aggregate(F.sequence(F.lit(4), F.size(start)), start, lambda s, _: step(s))
 
-    def of(code: Column) -> Column:
-        whole = _held(t["word_keys"], t["word_ranks"], code, F.xxhash64(code), F.lit(-1))
-        # A single byte always has a rank, so a fold has at least two.
-        return _let(whole, lambda w: F.when(w >= 0, F.array(w)).otherwise(_merged(t, code)))
 
-    return _let(F.decode(word, "ISO-8859-1"), of)
+def _unit(t: Column, unit: Column, start: Column) -> Column:
+    """The last state of a unit; that of a whole entry is one number with its id plus one."""
+    # A single byte is an entry, so a fold has at least two.
+    return _let(_whole(t, unit), lambda w: F.when(w >= 0, F.array(w + 1)).otherwise(_merged(t, start)))
 
 
 def packed(t: Column, ids: Column) -> Column:
@@ -189,42 +222,83 @@ def _with_tables(vocabulary: str, body: Callable[[Column], Column]) -> Column:
     return _let(F.from_json(F.lit(_tables(vocabulary)), SCHEMA), body)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, words -> one row for each block of documents: ids, sizes, distinct words, their codes."""
+def _started(units: list[bytes], vocabulary: str) -> pa.ListArray:
+    """The state of each unit before the first merge; its bytes are not empty."""
+    first, pairs, _ = _starts(vocabulary)
+    ends = np.cumsum(np.array([len(u) + 2 for u in units], np.int64))
+    sizes = np.diff(ends, prepend=0)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    codes = np.full(len(place), END)
+    codes[(place > 0) & (place < np.repeat(sizes, sizes) - 1)] = np.frombuffer(b"".join(units), np.uint8)
+    state = pairs[codes, np.append(codes[1:], END)] + (place << 17) + first[codes]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(state))
 
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+
+def _blocks(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, words -> one row for each block of documents: ids, sizes, numbers of units, new units and their states."""
+
+    def block(held: list[pa.RecordBatch], numbers: dict[bytes, int]) -> pa.RecordBatch:
+        beside = _starts(vocabulary)[2]
         lists = pa.concat_arrays([b.column(1) for b in held])
-        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        words = lists.flatten().cast(pa.large_binary())
+        places = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: places[-1]]
+        cuts = np.flatnonzero(~beside[data[:-1], data[1:]]) + 1
+        cuts = np.union1d(places, cuts[cuts > places[0]])
+        units = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), words.buffers()[2]])
+        upto = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        sizes = np.diff(np.searchsorted(cuts, places[upto]))
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        before = len(numbers)
+        known = np.array([numbers.setdefault(u, len(numbers)) for u in distinct], np.int32)
+        fresh = [u for u, number in zip(distinct, known.tolist()) if number >= before]
+        codes = known[coded.indices.to_numpy(zero_copy_only=False)]
         ids = pa.concat_arrays([b.column(0) for b in held])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays(
-            [one(ids), pa.array([sizes.tobytes()]), one(words.dictionary.cast(pa.binary())), pa.array([codes.tobytes()])],
-            ["doc_ids", "sizes", "words", "codes"],
-        )
-
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BLOCK:
-            yield block(held)
-            held, size = [], 0
-    if held:
-        yield block(held)
+            [
+                one(ids), pa.array([sizes.astype(np.int32).tobytes()]), pa.array([codes.tobytes()]), pa.array([before]),
+                one(pa.array(fresh, pa.binary())), one(_started(fresh, vocabulary)),
+            ],
+            ["doc_ids", "sizes", "codes", "known", "units", "starts"],
+        )
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        numbers: dict[bytes, int] = {}
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK:
+                yield block(held, numbers)
+                held, size = [], 0
+                if len(numbers) > KEPT:
+                    numbers.clear()
+        if held:
+            yield block(held, numbers)
+
+    return blocks
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block whose words have their ids -> doc_id, ids of each of its documents."""
+    """A block whose new units have their ids -> doc_id, ids of each of its documents."""
+    values, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for batch in batches:
         for row in range(batch.num_rows):
             docs = batch.column(0)[row].values
             sizes = np.frombuffer(batch.column(1)[row].as_py(), np.int32)
             codes = np.frombuffer(batch.column(2)[row].as_py(), np.int32)
-            known = batch.column(3)[row].values
-            lengths = known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = known.flatten().to_numpy(zero_copy_only=False)
+            if not batch.column(3)[row].as_py():
+                values, lengths = values[:0], lengths[:0]
+            folded = batch.column(4)[row].values
+            state = folded.flatten().to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(folded.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
+            place = np.arange(len(state)) - np.repeat(ends[:-1], np.diff(ends))
+            parts = ((state & IDS) > 0) & ((state & PLACES) >> 17 == place)
+            upto = np.append(0, np.cumsum(parts))
+            values = np.concatenate([values, ((state[parts] & IDS) - 1).astype(np.int32)])
+            lengths = np.concatenate([lengths, np.diff(upto[ends])])
             firsts = np.cumsum(lengths) - lengths
             ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             for low in range(0, len(docs), ROWS):
@@ -234,7 +308,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 ids = values[np.repeat(firsts[own] - upto[:-1], counts) + np.arange(upto[-1])]
                 offsets = upto[ends[low : high + 1] - ends[low]].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([docs[low:high], lists], ["doc_id", "ids"])
 
 
@@ -243,10 +317,11 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(found)
     blocks = docs.select(F.col("doc_id").cast("long"), words.alias("words")).mapInArrow(
-        _blocks, "doc_ids array<bigint>, sizes binary, words array<binary>, codes binary"
+        _blocks(vocabulary),
+        "doc_ids array<bigint>, sizes binary, codes binary, known bigint, units array<binary>, starts array<array<bigint>>",
     )
-    folded = _with_tables(vocabulary, lambda t: F.transform("words", lambda w: _word(t, w)))
-    return blocks.select("doc_ids", "sizes", "codes", folded.alias("ids")).mapInArrow(
+    folded = _with_tables(vocabulary, lambda t: F.zip_with("units", "starts", lambda u, s: _unit(t, u, s)))
+    return blocks.select("doc_ids", "sizes", "codes", "known", folded.alias("states")).mapInArrow(
         _spread, "doc_id bigint, ids array<int>"
     )
 

@@ -8,6 +8,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import HealthCheck, given, settings
@@ -71,3 +72,27 @@ def test_odd_rows(spark):
     made = bpe.digests(bpe.encoded(texts(df))).collect()
     assert len(made) == 3 and {r.n_tokens for r in made} == {0, 1}
     assert bpe.digests(bpe.encoded(texts(df.limit(0)))).collect() == []
+
+
+def test_a_task_folds_each_unit_once(monkeypatch):
+    def block(*words):
+        lists = pa.array([[w.encode() for w in words]], pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), lists], ["doc_id", "words"])
+
+    def units(*given_blocks):
+        return [b.column(4)[0].as_py() for b in bpe._blocks(bpe.VOCABULARY)(iter(given_blocks))]
+
+    given_blocks = [block(" zxqv", " the"), block(" the", " zxqv", " new"), block(), block(" zxqv")]
+    monkeypatch.setattr(bpe, "BLOCK", 1)
+    found = units(*given_blocks)
+    assert b" the" in found[0] and found[1:] == [[b" new"], [], []]
+    # Beyond the bound a task numbers anew.
+    monkeypatch.setattr(bpe, "KEPT", 0)
+    assert [b" the" in u for u in units(*given_blocks)] == [True, True, False, False]
+
+
+def test_many_small_blocks_and_few_kept_units(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 5)
+    monkeypatch.setattr(bpe, "BLOCK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    check(spark, library, ["zxqv éß日本 qqzj" * (i % 7) + " again" * (i % 3) + f"xw{i}" for i in range(60)])
