@@ -34,16 +34,18 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # Java's \s is ASCII unless told otherwise.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
 # Bytes of text of a block.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 # Units that a task keeps; beyond them it numbers anew.
 KEPT = 1 << 19
 # Documents of one batch of results.
 ROWS = 256
 SLOTS = (150_001, 150_011)
-# Bits of a part: 17 for a rank (all set: none), 29 for a place, 17 for an id plus one.
+# Bits of a part: 17 for a rank plus one (all set: none), 29 for a place, 17 for an id plus one.
 NONE = (2**17 - 1) << 46
 IDS = 2**17 - 1
 PLACES = (2**29 - 1) << 17
+# No state is as long.
+LONGEST = 2**29
 # What stands for a byte at both ends of a unit.
 END = 256
 
@@ -91,14 +93,14 @@ def _laid(rows: dict[int, dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.n
 
 @cache
 def _starts(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By byte: its id plus one.  By pair of bytes: their rank in its bits; whether an entry holds them side by side."""
+    """By byte: its id plus one.  By pair of bytes: their rank plus one in its bits; whether an entry holds them side by side."""
     known = ranks(vocabulary)
     first = np.array([*(known[bytes([b])] + 1 for b in range(256)), 0], np.int64)
     pairs = np.full((257, 257), NONE, np.int64)
     beside = np.zeros((256, 256), bool)
     for whole, rank in known.items():
         if len(whole) == 2:
-            pairs[whole[0], whole[1]] = rank << 46
+            pairs[whole[0], whole[1]] = (rank + 1) << 46
         for left, right in zip(whole, whole[1:]):
             beside[left, right] = True
     return first, pairs, beside
@@ -113,7 +115,7 @@ def _tables(vocabulary: str) -> str:
         for cut in range(1, len(whole)):
             left, right = known.get(whole[:cut]), known.get(whole[cut:])
             if left is not None and right is not None:
-                rows.setdefault(left + 1, {})[right + 1] = rank << 46
+                rows.setdefault(left + 1, {})[right + 1] = (rank + 1) << 46
     offsets, owner, values = _laid(rows)
     words = [(base64.b64encode(whole).decode(), rank) for whole, rank in known.items()]
     hashed = [xxhash.xxh64_intdigest(whole, 42) for whole in known]
@@ -158,7 +160,7 @@ def _whole(t: Column, unit: Column) -> Column:
 
 
 def _rank(t: Column, left: Column, right: Column) -> Column:
-    """Rank of a pair of ids plus one, in its bits of a part."""
+    """Rank plus one of a pair of ids plus one, in its bits of a part."""
 
     def of(at: Column) -> Column:
         return F.when(F.get(t["pair_lefts"], at) == left, F.get(t["pair_ranks"], at)).otherwise(F.lit(NONE))
@@ -167,12 +169,13 @@ def _rank(t: Column, left: Column, right: Column) -> Column:
 
 
 def _merged(t: Column, start: Column) -> Column:
-    """The state of a unit after the fold of ranked merges; see ``_started`` for the first one.
+    """The parts of a unit after the fold of ranked merges, with its ends; see ``_started`` for the first one.
 
     The state has one number for each byte and each end; all bytes of a part have the same one.  It holds, from
-    above, the rank of the part with the one to the right, the place of its first byte, and its id plus one (zero:
-    the ends).  So the minimum is the leftmost pair of lowest rank, the part to its left stands one place before,
-    and the part to its right where the length of an id ends: a step finds all it needs by place.
+    above, the rank plus one of the part with the one to the right (which is what the pair merges to), the place of
+    its first byte, and its id plus one (zero: the ends).  So the minimum is the leftmost pair of lowest rank, the
+    part to its left stands one place before, and the part to its right where the length of an id ends: a step
+    finds all it needs by place.
     """
     own = lambda x: x.bitwiseAND(F.lit(IDS))
     place = lambda x: F.shiftright(x.bitwiseAND(F.lit(PLACES)), 17).cast("int")
@@ -180,14 +183,14 @@ def _merged(t: Column, start: Column) -> Column:
 
     def step(s: Column) -> Column:
         def merge(low: Column, at: Column, left: Column, after: Column) -> Column:
-            fresh = F.shiftright(low, 46) + 1
-            before = _rank(t, own(left), fresh) + left.bitwiseAND(F.lit(PLACES + IDS))
-            merged = _rank(t, fresh, own(F.get(s, after))) + low.bitwiseAND(F.lit(PLACES)) + fresh
+            fresh = F.shiftright(low, 46)
+            before = _rank(t, own(left), fresh).bitwiseOR(left.bitwiseAND(F.lit(PLACES + IDS)))
+            merged = _rank(t, fresh, own(F.get(s, after))).bitwiseOR(low.bitwiseAND(F.lit(PLACES))).bitwiseOR(fresh)
             parts = F.array(
                 F.slice(s, F.lit(1), place(left)),
                 F.array_repeat(before, at - place(left)),
                 F.array_repeat(merged, after - at),
-                F.slice(s, after + 1, F.size(s) - after),
+                F.slice(s, after + 1, F.lit(LONGEST)),
             )
             return F.flatten(parts)
 
@@ -198,11 +201,12 @@ def _merged(t: Column, start: Column) -> Column:
 
         return _let(F.array_min(s), lambda low: F.when(low >= NONE, s).otherwise(_let(place(low), lambda at: around(low, at))))
 
-    return F.aggregate(F.sequence(F.lit(4), F.size(start)), start, lambda s, _: step(s))
+    # The bytes of a part are equal and those of two parts are not: what is left of the state is a number for each part.
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(4), F.size(start)), start, lambda s, _: step(s)))
 
 
 def _unit(t: Column, unit: Column, start: Column) -> Column:
-    """The last state of a unit; that of a whole entry is one number with its id plus one."""
+    """The last parts of a unit: numbers whose last bits are an id plus one (zero: an end)."""
     # A single byte is an entry, so a fold has at least two.
     return _let(_whole(t, unit), lambda w: F.when(w >= 0, F.array(w + 1)).otherwise(_merged(t, start)))
 
@@ -243,8 +247,10 @@ def _blocks(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         words = lists.flatten().cast(pa.large_binary())
         places = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: places[-1]]
-        cuts = np.flatnonzero(~beside[data[:-1], data[1:]]) + 1
-        cuts = np.union1d(places, cuts[cuts > places[0]])
+        apart = np.zeros(places[-1] + 1, bool)
+        apart[places[0] + 1 : -1] = ~beside.ravel()[data[places[0] : -1] * np.uint16(256) + data[places[0] + 1 :]]
+        apart[places] = True
+        cuts = np.flatnonzero(apart)
         units = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), words.buffers()[2]])
         upto = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         sizes = np.diff(np.searchsorted(cuts, places[upto]))
@@ -294,8 +300,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             folded = batch.column(4)[row].values
             state = folded.flatten().to_numpy(zero_copy_only=False)
             ends = np.append(0, np.cumsum(folded.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
-            place = np.arange(len(state)) - np.repeat(ends[:-1], np.diff(ends))
-            parts = ((state & IDS) > 0) & ((state & PLACES) >> 17 == place)
+            parts = (state & IDS) > 0
             upto = np.append(0, np.cumsum(parts))
             values = np.concatenate([values, ((state[parts] & IDS) - 1).astype(np.int32)])
             lengths = np.concatenate([lengths, np.diff(upto[ends])])
@@ -314,6 +319,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text -> doc_id, ids."""
+    # A row is a block here: by number of rows alone, a batch would hold all blocks of a task.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK))
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(found)
     blocks = docs.select(F.col("doc_id").cast("long"), words.alias("words")).mapInArrow(
