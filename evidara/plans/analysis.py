@@ -10,6 +10,7 @@ from evidara.functions.text import document_type
 from evidara.operators import graph as G
 from evidara.operators import ingest, merge, store, validate
 from evidara.session import settle
+from evidara.session import stored as fixed
 from evidara.sources import files as S
 from evidara.sources import payloads as P
 
@@ -50,12 +51,14 @@ def run_analysis(payloads: DataFrame, chunks: DataFrame, documents: DataFrame) -
     filename, page, text.  One bad payload fails its workspace's run, and only that one:
     failed workspaces contribute no rows, so their stored state stays as it is.
     """
-    unwrapped = settle(P.unwrap(payloads))
+    unwrapped = settle(P.unwrap(payloads).drop("content"))
     failed = unwrapped.where(F.col("payload_error").isNotNull()).groupBy("workspace_id").agg(
         F.min_by("payload_error", "batch").alias("message")
     )
+    # Its size is known once it is stored, so that payloads need not be exchanged when few fail.
+    failed = fixed(failed)
     good = unwrapped.join(failed.select("workspace_id"), "workspace_id", "left_anti")
-    pages = settle(validate.feature_table(ingest.source_pages(chunks)))
+    pages = fixed(validate.feature_table(ingest.source_pages(chunks)))
     checked = validate.validate_payloads(good, pages, documents)
     accepted = {kind: validate.accepted(df) for kind, df in checked.items()}
     # Read by several merges; the other kinds are read once and fixed when they get their ids.

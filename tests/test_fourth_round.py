@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import text as X
 from evidara.functions.evidence import page_features, supported
+from evidara.operators import validate
 from evidara.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,6 +34,36 @@ def test_a_text_is_folded_once_for_all_terms(spark):
     assert "Contains(trim(regexp_replace(lower(coalesce" not in _optimized(made)
 
 
+def test_given_page_features_are_not_made_again(spark):
+    payload = '{"entities": [{"entity_type": "Person", "value": "marked words", "context": "marked words", "source_document": "a.txt", "source_page": 1}]}'
+    unwrapped = validate.P.unwrap(spark.createDataFrame([("w", 1, payload)], "workspace_id string, batch long, content string"))
+    pages = validate.feature_table(spark.createDataFrame([("w", "a.txt", 1, "other text")], "workspace_id string, filename string, page int, text string"))
+    documents = spark.createDataFrame([("w", 1, "a.txt")], "workspace_id string, id long, filename string")
+    marked = pages.withColumn("page_compact", F.lit("marked words"))
+    assert validate.validate_payloads(unwrapped, marked, documents)["entities"].first().reject_reason is None
+    assert validate.validate_payloads(unwrapped, pages, documents)["entities"].first().reject_reason == "entity_value_not_in_source_text"
+
+
+def test_a_contradiction_takes_no_page_along(spark):
+    item = '{"contradictions": [{"asset_id": "P-1", "evidence_a": "%s", "source_document_a": "a.txt", "source_page_a": 1, "evidence_b": "%s", "source_document_b": "%s", "source_page_b": 1}]}'
+    given = [("is open", "is shut", "b.txt"), ("is open", "is open", "b.txt"), ("is shut", "is shut", "b.txt"), ("is open", "is shut", "c.txt"), ("is bare", "is bare", "d.txt"), ("is open", "is bare", "d.txt")]
+    rows = [("w", i, item % (a, b, f) if i != 4 else (item % (a, b, f)).replace("a.txt", "d.txt")) for i, (a, b, f) in enumerate(given)]
+    unwrapped = validate.P.unwrap(spark.createDataFrame(rows, "workspace_id string, batch long, content string"))
+    pages = spark.createDataFrame([("w", "a.txt", 1, "P-1 is open"), ("w", "b.txt", 1, "P-1 is shut"), ("w", "d.txt", 1, "it is bare")], "workspace_id string, filename string, page int, text string")
+    documents = pages.select("workspace_id", F.xxhash64("filename").alias("id"), "filename")
+    checked = validate.validate("contradictions", validate.CANDIDATES["contradictions"](validate.P.items(unwrapped, "contradictions")), pages, documents)
+    assert "page_b_tokens" not in validate.side_held(page_features(pages.withColumns({"evidence_b": F.lit("x"), "asset_id": F.lit("y")}), prefix="page_b_"), "_b").columns
+    absent, no_asset = "evidence_not_in_source_text", "asset_id_not_in_source_text"
+    assert {r.ord.batch: r.reject_reason for r in checked.collect()} == {0: None, 1: absent, 2: absent, 3: validate.NO_SOURCE, 4: no_asset, 5: None}
+
+
+def test_accepted_records_are_judged_once(spark):
+    rows = spark.createDataFrame([("w", 1, "bad"), ("w", 2, None), (None, None, None)], "workspace_id string, ord int, reject_reason string")
+    kept = validate.accepted(rows.withColumn("reject_reason", F.concat("reject_reason", F.lit("!"))))
+    assert kept.columns == ["workspace_id", "ord"] and sorted(map(tuple, kept.collect()), key=str) == [("w", 2), (None, None)]
+    assert _optimized(kept).count("concat(") == 1
+
+
 def test_question_bundle_has_all_its_sections(spark):
     bundle = QUERIES["question_bundle"](spark, SMALL)
     assert set(bundle.columns) == {"query_id", "section", "rank", "label", "detail", "score"}
