@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import text as X
+from evidara.functions import vocab as V
 from evidara.functions.evidence import page_features, supported
+from evidara.functions.ordering import apart, first_by, first_by_apart
+from evidara.operators import graph as G
+from evidara.operators import reports as R
 from evidara.operators import validate
-from evidara.plans.registry import QUERIES
+from evidara.plans import graph_queries as GQ
+from evidara.plans import standins as S
+from evidara.plans.registry import QUERIES, Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,6 +70,46 @@ def test_accepted_records_are_judged_once(spark):
     assert _optimized(kept).count("concat(") == 1
 
 
+def test_rows_alone_with_their_key_do_not_travel(spark):
+    rows = spark.createDataFrame([("a", None, 2, "x"), ("a", None, 1, "y"), (None, "a", 3, "z"), ("b", "k", 4, "u"), ("b", "l", 5, "v")], "k string, l string, ord int, v string")
+    kept = first_by_apart(rows, ["k", "l"], ["ord"])
+    assert kept.columns == rows.columns
+    assert sorted(r.v for r in kept.collect()) == sorted(r.v for r in first_by(rows, ["k", "l"], ["ord"]).collect()) == ["u", "v", "y", "z"]
+    alone, shared = apart(rows, ["k", "l"])
+    assert {"u", "v"} <= {r.v for r in alone.collect()} and {"x", "y"} <= {r.v for r in shared.collect()}
+    assert "hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_shared_keys_fall_back_to_the_whole_grouping(spark, monkeypatch):
+    from evidara.functions import ordering
+
+    monkeypatch.setattr(ordering, "FEW", 1)
+    rows = spark.range(9).selectExpr("id % 3 AS k", "id AS ord")
+    assert ordering.apart(rows, ["k"])[0] is None
+    assert sorted(map(tuple, first_by_apart(rows, ["k"], ["ord"]).collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_relations_of_records_are_made_by_one_rule():
+    made = {*V.ENTITY_EDGE_LABELS.values(), V.DEFAULT_ENTITY_EDGE, "EQUIPMENT_LOCATED_IN", "MENTIONED_IN_DOCUMENT", "EQUIPMENT_MENTIONED_IN_DOCUMENT", "EQUIPMENT_SUPPORTED_BY_DOCUMENT"}
+    assert not made & {"EQUIPMENT_HAS_MAINTENANCE_EVENT", "EQUIPMENT_HAS_COMPLIANCE_GAP", "EQUIPMENT_HAS_CONTRADICTION"}
+
+
+def test_repeated_records_give_one_edge(spark):
+    tables = S.graph_tables(Tables(spark, SMALL))
+    twice = {**tables, "events": tables["events"].unionByName(tables["events"]), "gaps": tables["gaps"].unionByName(tables["gaps"].limit(5))}
+    once, doubled = G.derive_edges(tables), G.derive_edges(twice)
+    assert doubled.count() == once.count() and doubled.exceptAll(once).count() == 0
+
+
+def test_paths_read_their_edges_once(spark):
+    t = Tables(spark, SMALL)
+    made = G.paths(GQ.shown(t), GQ.nodes(t), S.assets(t))
+    made.write.format("noop").mode("overwrite").save()
+    assert made.where(F.size("nodes") < 2).count() == 0
+    pack = R.asset_pack(S.assets(t), S.gaps(t), S.events(t), S.links(t), S.documents(t), S.contradictions(t), GQ.shown(t))
+    assert _optimized(pack).count("WindowGroupLimit") == 1
+
+
 def test_question_bundle_has_all_its_sections(spark):
     bundle = QUERIES["question_bundle"](spark, SMALL)
     assert set(bundle.columns) == {"query_id", "section", "rank", "label", "detail", "score"}
